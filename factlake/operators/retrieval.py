@@ -25,6 +25,7 @@ from factlake.functions import fixed_values as fv
 from factlake.functions.numbers import exact_round
 from factlake.functions.text import raw_tokens
 from factlake.operators.rows import unnest
+from factlake.session import materialized
 
 CLAIM_KEY = ["answer_id", "claim_index"]
 HOT_DF = 256
@@ -50,7 +51,10 @@ def kb_idf(kb: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class KnowledgeIndex:
-    """A knowledge base prepared for retrieval with up to ``k`` results."""
+    """A knowledge base prepared for retrieval with up to ``k`` results.
+
+    ``stats`` and ``marks``, which several steps read, are written to the shared folder.
+    """
 
     entries: DataFrame  # the knowledge base itself
     stats: DataFrame  # token, df, weight
@@ -64,7 +68,9 @@ class KnowledgeIndex:
     def build(
         cls, kb: DataFrame, k: int = fv.EVIDENCE_PER_CLAIM, hot_df: int = HOT_DF
     ) -> KnowledgeIndex:
-        stats = kb_idf(kb).select("token", "df", _weight(F.col("idf")).alias("weight"))
+        stats = materialized(
+            kb_idf(kb).select("token", "df", _weight(F.col("idf")).alias("weight"))
+        )
         credibility = F.coalesce("source_credibility", F.lit(fv.DEFAULT_CREDIBILITY))
         postings = unnest(
             kb.select("kb_id", F.array_distinct("keywords").alias("tokens")),
@@ -76,10 +82,10 @@ class KnowledgeIndex:
             stats.where(F.col("df") > hot_df).select("token"), "token", "left_semi"
         )
         hot_sets = hot_postings.groupBy("kb_id").agg(
-            F.array_sort(F.collect_list("token")).alias("hot")
+            F.sort_array(F.collect_list("token")).alias("hot")
         )
-        marks = kb.select("kb_id", credibility.alias("credibility")).join(
-            hot_sets, "kb_id", "left"
+        marks = materialized(
+            kb.select("kb_id", credibility.alias("credibility")).join(hot_sets, "kb_id", "left")
         )
         best = Window.partitionBy("hot").orderBy(F.desc("credibility"), "kb_id")
         profiles = (
@@ -101,16 +107,6 @@ class KnowledgeIndex:
             k=k,
         )
 
-    def persist(self) -> KnowledgeIndex:
-        """Keep the small tables of the index for several retrievals."""
-        for table in (self.stats, self.rare, self.marks, self.profiles):
-            table.persist()
-        return self
-
-    def unpersist(self) -> None:
-        for table in (self.stats, self.rare, self.marks, self.profiles):
-            table.unpersist()
-
 
 def query_text(claim: Column, sources: Column) -> Column:
     """Trusted sources (or the default ones) followed by the claim."""
@@ -161,7 +157,7 @@ def score_entries(claims: DataFrame, index: KnowledgeIndex) -> DataFrame:
     per_claim = weighed.groupBy(*CLAIM_KEY).agg(
         F.sum("weight").alias("total"),
         # Lightest (most frequent) first.
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.when(is_hot, F.struct("weight", "token")))
         ).alias("hot"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_OWN_FOLDER = "spark.factlake.folder"
+
 
 def build_session(master: str | None = None, **settings: str) -> SparkSession:
     """A session with the settings these jobs are written for."""
@@ -25,14 +28,25 @@ def build_session(master: str | None = None, **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only where that is unset (a local test session) is a temporary folder used, and
+    then set as the session's own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN_FOLDER, None)
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="factlake-")
+        spark.conf.set(_OWN_FOLDER, folder)
+    return folder
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, lineage cut.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only where
-    that is unset (a local test session) is a temporary folder used.
+    Unlike an RDD checkpoint the table is columnar, so later steps read only the
+    columns they use, and it outlives the executors that wrote it.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="factlake-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/factlake/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
