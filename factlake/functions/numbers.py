@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 _SCALE = 1 << 62
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def exact_round(value: Column, digits: int) -> Column:
     """Half-even rounding of the exact binary value, for 0 <= value <= 1.
 
@@ -15,17 +22,20 @@ def exact_round(value: Column, digits: int) -> Column:
     double path.
     """
     unit = 10**digits
-    scaled = value * F.lit(float(unit))
-    near_tie = F.abs(scaled - F.floor(scaled) - F.lit(0.5)) < 1e-6
-    units = (value * F.lit(float(_SCALE))).cast("long").cast("decimal(20,0)") * F.lit(
-        unit
-    ).cast("decimal(6,0)")
-    whole = F.floor(scaled).cast("long")
-    rest = units - whole.cast("decimal(12,0)") * F.lit(str(_SCALE)).cast("decimal(20,0)")
-    half = F.lit(str(_SCALE // 2)).cast("decimal(26,0)")
-    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
-    exact = (whole + up.cast("long")) / F.lit(float(unit))
-    return F.when(near_tie, exact).otherwise(F.floor(scaled + 0.5) / F.lit(float(unit)))
+    scale, half = F.lit(str(_SCALE)).cast("decimal(20,0)"), F.lit(str(_SCALE // 2)).cast("decimal(26,0)")
+
+    def rounded(v: Column) -> Column:
+        scaled = v * F.lit(float(unit))
+        whole = F.floor(scaled).cast("long")
+        units = (v * F.lit(float(_SCALE))).cast("long").cast("decimal(20,0)")
+        rest = units * F.lit(unit).cast("decimal(6,0)") - whole.cast("decimal(12,0)") * scale
+        up = (rest > half) | ((rest == half) & (whole % 2 == 1))
+        near_tie = F.abs(scaled - whole - F.lit(0.5)) < 1e-6
+        return F.when(near_tie, whole + up.cast("long")).otherwise(F.floor(scaled + 0.5)) / F.lit(
+            float(unit)
+        )
+
+    return let(value, rounded)
 
 
 def fixed2(value: Column) -> Column:
