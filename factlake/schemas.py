@@ -1,26 +1,25 @@
-"""Declared table schemas."""
+"""Declared table schemas, as DDL."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
 
-ANSWERS = StructType.fromDDL(
+ANSWERS = (
     "answer_id BIGINT, question STRING, answer STRING, trusted_sources ARRAY<STRING>"
 )
-CLAIMS = StructType.fromDDL(
+CLAIMS = (
     "answer_id BIGINT, claim_index INT, text STRING, claim_type STRING, "
     "confidence DOUBLE, start_index INT, end_index INT"
 )
-KNOWLEDGE = StructType.fromDDL(
+KNOWLEDGE = (
     "kb_id BIGINT, source STRING, source_credibility DOUBLE, snippet STRING, "
     "url STRING, keywords ARRAY<STRING>"
 )
-EVIDENCE = StructType.fromDDL(
+EVIDENCE = (
     "answer_id BIGINT, claim_index INT, evidence_index INT, kb_id BIGINT, "
     "source STRING, snippet STRING, url STRING, relevance_score DOUBLE"
 )
-PROMPTS = StructType.fromDDL("prompt_id BIGINT, prompt STRING, system_prompt STRING")
-GROUND_REQUESTS = StructType.fromDDL(
+PROMPTS = ("prompt_id BIGINT, prompt STRING, system_prompt STRING")
+GROUND_REQUESTS = (
     "answer_id BIGINT, question STRING, initial_answer STRING, "
     "trusted_sources ARRAY<STRING>, max_iterations INT"
 )
@@ -35,7 +34,7 @@ EVAL_CASE = (
     "trusted_reference_evidence: ARRAY<STRING>, expected_risk_level: STRING, "
     "notes: STRING>"
 )
-EVAL_DATASET = StructType.fromDDL(
+EVAL_DATASET = (
     f"name STRING, version STRING, description STRING, cases ARRAY<{EVAL_CASE}>"
 )
 PREDICTED_CLAIM = "STRUCT<text: STRING, claim_type: STRING, confidence: DOUBLE>"
@@ -43,12 +42,12 @@ PREDICTED_VERDICT = (
     "STRUCT<claim_text: STRING, verdict: STRING, confidence: DOUBLE, "
     "evidence_indices: ARRAY<INT>, reasoning: STRING>"
 )
-PREDICTIONS = StructType.fromDDL(
+PREDICTIONS = (
     f"case_id STRING, extracted_claims ARRAY<{PREDICTED_CLAIM}>, "
     f"predicted_verdicts ARRAY<{PREDICTED_VERDICT}>, risk_score DOUBLE, "
     "risk_level STRING, citations ARRAY<STRING>, processing_time_ms INT"
 )
-FEEDBACK = StructType.fromDDL(
+FEEDBACK = (
     "id STRING, request_id STRING, claim_index INT, predicted_verdict STRING, "
     "correct_verdict STRING, comment STRING, created_at TIMESTAMP"
 )

@@ -18,7 +18,7 @@ def read_eval_cases(spark: SparkSession, path: str) -> DataFrame:
     ).drop("id")
 
 
-def read_table(spark: SparkSession, path: str, schema, file_format: str = "parquet") -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: str, file_format: str = "parquet") -> DataFrame:
     """A table of declared schema: answers, prompts, predictions, knowledge base, feedback."""
     return spark.read.schema(schema).format(file_format).load(path)
 
