@@ -19,23 +19,19 @@ def exact_round(value: Column, digits: int) -> Column:
 
     ``round`` works on the printed decimal (0.125 -> 0.13).  Only values within a
     hair of a tie need the exact integer arithmetic, so the others stay on the
-    double path.
+    double path.  ``value`` is used several times: pass a column, not an expression.
     """
     unit = 10**digits
+    scaled = value * F.lit(float(unit))
+    whole = F.floor(scaled).cast("long")
+    units = (value * F.lit(float(_SCALE))).cast("long").cast("decimal(20,0)")
     scale, half = F.lit(str(_SCALE)).cast("decimal(20,0)"), F.lit(str(_SCALE // 2)).cast("decimal(26,0)")
-
-    def rounded(v: Column) -> Column:
-        scaled = v * F.lit(float(unit))
-        whole = F.floor(scaled).cast("long")
-        units = (v * F.lit(float(_SCALE))).cast("long").cast("decimal(20,0)")
-        rest = units * F.lit(unit).cast("decimal(6,0)") - whole.cast("decimal(12,0)") * scale
-        up = (rest > half) | ((rest == half) & (whole % 2 == 1))
-        near_tie = F.abs(scaled - whole - F.lit(0.5)) < 1e-6
-        return F.when(near_tie, whole + up.cast("long")).otherwise(F.floor(scaled + 0.5)) / F.lit(
-            float(unit)
-        )
-
-    return let(value, rounded)
+    rest = units * F.lit(unit).cast("decimal(6,0)") - whole.cast("decimal(12,0)") * scale
+    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
+    near_tie = F.abs(scaled - whole - F.lit(0.5)) < 1e-6
+    return F.when(near_tie, whole + up.cast("long")).otherwise(F.floor(scaled + 0.5)) / F.lit(
+        float(unit)
+    )
 
 
 def fixed2(value: Column) -> Column:

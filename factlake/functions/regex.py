@@ -44,7 +44,16 @@ def jvm(pattern: str, ignore_case: bool = False) -> str:
 
 
 def matches(col: Column, pattern: str, ignore_case: bool = False) -> Column:
-    return F.rlike(col, F.lit(jvm(pattern, ignore_case)))
+    """Does the pattern occur?
+
+    Testing for a word edge at every character is slow on the JVM, so the pattern
+    without its edges, which matches wherever the pattern does, is tried first.
+    """
+    exact = F.rlike(col, F.lit(jvm(pattern, ignore_case)))
+    loose = pattern.replace(r"\b", "")
+    if loose == pattern:
+        return exact
+    return F.rlike(col, F.lit(jvm(loose, ignore_case))) & exact
 
 
 def find_all(col: Column, pattern: str, group: int = 0, ignore_case: bool = False) -> Column:

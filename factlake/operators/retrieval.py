@@ -173,15 +173,13 @@ def score_entries(claims: DataFrame, index: KnowledgeIndex) -> DataFrame:
         .withColumn(
             "weight",
             F.col("rare_weight")
-            + F.coalesce(_shared_weight(F.col("hot"), F.col("entry_hot")), F.lit(0)),
-        )
-        .select(
-            *CLAIM_KEY,
-            "kb_id",
-            exact_round(_score(F.col("weight"), F.col("total"), F.col("credibility")), 4).alias(
-                "relevance_score"
-            ),
+            + F.when(
+                F.col("entry_hot").isNotNull() & (F.size("hot") > 0),
+                _shared_weight(F.col("hot"), F.col("entry_hot")),
+            ).otherwise(F.lit(0)),
         )
+        .withColumn("score", _score(F.col("weight"), F.col("total"), F.col("credibility")))
+        .select(*CLAIM_KEY, "kb_id", exact_round(F.col("score"), 4).alias("relevance_score"))
     )
     first_pass = _best(from_rare, k).drop("kb_rank")
 
@@ -234,12 +232,14 @@ def score_entries(claims: DataFrame, index: KnowledgeIndex) -> DataFrame:
             )
         )
     )
-    from_hot = unnest(from_hot, "champions", *CLAIM_KEY, "weight", "total").select(
-        *CLAIM_KEY,
-        F.col("item.kb_id").alias("kb_id"),
-        exact_round(
-            _score(F.col("weight"), F.col("total"), F.col("item.credibility")), 4
-        ).alias("relevance_score"),
+    from_hot = (
+        unnest(from_hot, "champions", *CLAIM_KEY, "weight", "total")
+        .withColumn("score", _score(F.col("weight"), F.col("total"), F.col("item.credibility")))
+        .select(
+            *CLAIM_KEY,
+            F.col("item.kb_id").alias("kb_id"),
+            exact_round(F.col("score"), 4).alias("relevance_score"),
+        )
     )
     merged = (
         first_pass.unionByName(from_hot)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factlake.functions import fixed_values as fv
-from factlake.functions.numbers import exact_round
-from factlake.functions.regex import jvm
+from factlake.functions.numbers import exact_round, let
+from factlake.functions.regex import matches
 from factlake.functions.text import is_blank
 
 Rules = list[tuple[str, str, float]]
@@ -24,12 +24,13 @@ def case_folded(text: Column) -> Column:
 
 
 def matched_rules(text: Column, rules: Rules) -> Column:
-    """Names of the rules found anywhere in the (case-folded) text, in rule order."""
-    names = [
-        F.when(F.rlike(text, F.lit(jvm(pattern.lower()))), F.lit(name))
-        for name, pattern, _ in rules
-    ]
-    return F.filter(F.array(*names), lambda n: n.isNotNull())
+    """Names of the rules found anywhere in the text, in rule order."""
+
+    def names(folded: Column) -> Column:
+        found = [F.when(matches(folded, p.lower()), F.lit(name)) for name, p, _ in rules]
+        return F.filter(F.array(*found), lambda n: n.isNotNull())
+
+    return let(case_folded(text), names)
 
 
 def rule_score(names: Column, rules: Rules) -> Column:
@@ -95,15 +96,15 @@ def result(check: str) -> Column:
 def toxic_rules(text: Column) -> Column:
     none = F.array().cast("array<string>")
     return F.when(is_blank(text), none).otherwise(
-        matched_rules(case_folded(text), fv.TOXICITY_RULES)
+        matched_rules(text, fv.TOXICITY_RULES)
     )
 
 
 def injection_rules(text: Column, plain: Column) -> Column:
     """Rules found in the raw text, then those only found in its plain form."""
     none = F.array().cast("array<string>")
-    raw = matched_rules(case_folded(text), fv.INJECTION_RULES)
+    raw = matched_rules(text, fv.INJECTION_RULES)
     undone = F.when(
-        plain.isNotNull(), matched_rules(case_folded(plain), fv.INJECTION_RULES)
+        plain.isNotNull(), matched_rules(plain, fv.INJECTION_RULES)
     ).otherwise(none)
     return F.when(is_blank(text), none).otherwise(F.array_union(raw, undone))

@@ -43,6 +43,7 @@ PROMPT_ENDINGS = [
     " How to kill myself? exterminate them, I want to attack.",
     "",
 ]
+TEXT_TABLES = ("documents", "conversations")
 SOURCES = [
     "wikipedia", "world-bank", "imf", "oecd", "who", "nih", "pubmed", "arxiv",
     "News", "blog", "unknown", "un",
@@ -51,7 +52,17 @@ URLS = ["https://data.example.org/", "https://www.example.gov/", "https://exampl
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table.
+
+    The work on texts is per character, so a table in fewer splits than there are cores
+    (the small test files are one row group each) is spread over them first.  A large
+    table has more splits than that and is read as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and df.rdd.getNumPartitions() < 2 * cores:
+        return df.repartition(cores)
+    return df
 
 
 def pick(values: list[str], number: Column) -> Column:
