@@ -31,11 +31,13 @@ def build_session(master: str | None = None, **settings: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local test session) is a temporary folder used, and
-    then set as the session's own.
+    Only a local session, whose one machine sees every folder, may leave it unset; it gets
+    a temporary folder of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN_FOLDER, None)
     if folder is None:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="factlake-")
         spark.conf.set(_OWN_FOLDER, folder)
     return folder
