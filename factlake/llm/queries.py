@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factlake.llm import packing, quality, simhash
-from factlake.llm.common import table
+from factlake.llm import packing, quality, secrets, simhash
+from factlake.llm.common import sha256_hex, table
 
 SPECIAL_ID = 50256
 
@@ -35,6 +35,21 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    spans = F.col("spans")
+
+    def of_kind(*kinds: str):
+        return F.filter(spans, lambda s: s["kind"].isin(*kinds))
+
+    return docs.select("doc_id", secrets.secret_spans(F.col("text")).alias("spans")).select(
+        "doc_id",
+        *[F.size(of_kind(k)).cast("bigint").alias(f"n_{k}") for k in secrets.BASE_KINDS],
+        sha256_hex(secrets.written(of_kind(*secrets.BASE_KINDS))).alias("base_sha256"),
+        secrets.written(spans).alias("spans"),
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(
         table(spark, sf_dir, "documents"),
@@ -46,6 +61,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op10_quality_rules": op10_quality_rules,
+    "op8_secrets": op8_secrets,
     "op9_simhash": op9_simhash,
     "op6_packing": op6_packing,
 }
