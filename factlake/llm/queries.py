@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factlake.llm import lines, packing, quality, secrets, simhash
+from factlake.llm import extraction, lines, packing, quality, secrets, simhash
 from factlake.llm.common import sha256_hex, table
 
 SPECIAL_ID = 50256
@@ -54,6 +54,14 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    text = extraction.main_text(F.col("html"), extraction.fit(pages)).alias("text")
+    return pages.select("page_id", "url", text).select(
+        "*", F.length("text").cast("bigint").alias("n_chars")
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(
         table(spark, sf_dir, "documents"),
@@ -66,6 +74,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op4_lines": op4_lines,
+    "op5_extraction": op5_extraction,
     "op8_secrets": op8_secrets,
     "op9_simhash": op9_simhash,
     "op6_packing": op6_packing,
