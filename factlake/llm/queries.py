@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factlake.llm import extraction, lines, packing, quality, secrets, simhash
+from factlake.llm import extraction, lines, packing, quality, secrets, sharding, simhash
 from factlake.llm.common import sha256_hex, table
 
 SPECIAL_ID = 50256
@@ -62,6 +62,18 @@ def op5_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(
         table(spark, sf_dir, "documents"),
@@ -75,6 +87,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op4_lines": op4_lines,
     "op5_extraction": op5_extraction,
+    "op3_sharding": op3_sharding,
     "op8_secrets": op8_secrets,
     "op9_simhash": op9_simhash,
     "op6_packing": op6_packing,
