@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factlake.llm import extraction, lines, packing, quality, secrets, sharding, simhash
+from factlake.llm import extraction, lines, packing, quality, secrets, sharding, simhash, topk
 from factlake.llm.common import sha256_hex, table
 
 SPECIAL_ID = 50256
@@ -74,6 +74,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(
         table(spark, sf_dir, "documents"),
@@ -88,8 +93,27 @@ QUERIES = {
     "op4_lines": op4_lines,
     "op5_extraction": op5_extraction,
     "op3_sharding": op3_sharding,
+    "op7_topk": op7_topk,
     "op8_secrets": op8_secrets,
     "op9_simhash": op9_simhash,
     "op6_packing": op6_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_topk": """
+        WITH rows AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   list_inner_product(q.x, c.x)::BIGINT AS score
+            FROM rows q JOIN rows c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+        ), ranked AS (
+            SELECT *, row_number() OVER (
+                PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank
+            FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
+}
