@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factlake.llm import bpe, extraction, lines, packing, quality, secrets, sharding, simhash, topk
+from factlake.llm import bpe, extraction, lines, packing, quality, repeats, secrets, sharding, simhash, topk
 from factlake.llm.common import sha256_hex, table
 
 SPECIAL_ID = 50256
@@ -62,6 +62,13 @@ def op5_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", sha256_hex(F.col("kept")).alias("kept_sha256")
+    )
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     done = bpe.round_trip(F.col("text"), path, public_tokenizers.PATTERN).alias("done")
@@ -98,6 +105,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op4_lines": op4_lines,
     "op5_extraction": op5_extraction,
+    "op1_repeats": op1_repeats,
     "op2_bpe": op2_bpe,
     "op3_sharding": op3_sharding,
     "op7_topk": op7_topk,
