@@ -12,9 +12,10 @@ else too. Only a fraction of a corpus is worth indexing, and equal windows have
 3. What is left, one run of each different content per repeated anchor, is fetched as text.
    Runs of one anchor go to one task, which builds a run-length index of them and streams
    the matching statistics: windows with a match of LENGTH bytes repeat.
-4. An anchor with more than GROUP different runs is split, however many there are: each of
-   its runs is halved, and a half has all bytes that its windows share as a new anchor.
-   Steps 2 to 4 repeat; a run of one window is decided in step 2.
+4. An anchor with more than GROUP different runs is split, however many there are: its
+   windows are halved by their distance from it, and what all windows at the distances of
+   a half share is that half's new anchor. Steps 2 to 4 repeat; windows of one distance
+   are decided in step 2.
 
 So no task holds more than a few groups of bounded size, and nothing is left out.
 """
@@ -38,7 +39,7 @@ GROUP = 500
 #: Bytes of text worked on at once; longer texts are cut into overlapping parts.
 PART = 4 << 20
 INDEXED = 1 << 20
-_RUNS = "f bigint, k bigint, dk bigint, th bigint, s bigint, n bigint"
+_RUNS = "f bigint, k bigint, dk bigint, th bigint, s bigint, n bigint, o bigint"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -99,7 +100,8 @@ def _parts(rows: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
 
 
 def _runs_of(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
-    """(anchor hash, content hash, row, place of the first window, windows) of all runs."""
+    """Of all runs: hash of the anchor, hash of the content, row, place of the first window,
+    windows, distance of the first window from the anchor."""
     data = b"".join(piece for _, _, piece in parts)
     hashes = _gram_hashes(np.frombuffer(data, np.uint8))
     place = _least_place(hashes, LENGTH - GRAM + 1)
@@ -122,17 +124,18 @@ def _runs_of(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     of_part = part[first]
     rows = np.array([number for number, _, _ in parts])[of_part]
     at = np.array([at for _, at, _ in parts])[of_part]
-    return hashes[a].view(np.int64), np.array(content, np.uint64).view(np.int64), rows, at + s - offsets[of_part], count
+    anchors, contents = hashes[a].view(np.int64), np.array(content, np.uint64).view(np.int64)
+    return anchors, contents, rows, at + s - offsets[of_part], count, a - s
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["f", "k", "dk", "th", "s", "n"]
+    names = ["f", "k", "dk", "th", "s", "n", "o"]
     for batch in batches:
         keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("dk", "th")]
         for parts in _parts(utf8_rows(batch.column("text"))):
-            f, k, rows, s, n = _runs_of(parts)
+            f, k, rows, s, n, o = _runs_of(parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in (f, k, *(key[rows] for key in keys), s, n)],
+                [pa.array(c, pa.int64()) for c in (f, k, *(key[rows] for key in keys), s, n, o)],
                 names,
             )
 
@@ -170,28 +173,40 @@ def _decided(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _halves(runs: DataFrame) -> DataFrame:
-    """Both halves of every run of two or more windows, a run of one as it is; with the
-    bytes that all windows of a half share as the new anchor."""
-    n = F.col("n")
-    middle = F.expr("n div 2")
-
-    def half(side: int, first: Column, windows: Column) -> DataFrame:
-        text = F.col("context").substr(first.cast("int") + 1, (windows + LENGTH - 1).cast("int"))
-        part = runs.where(windows > 0).select(
-            "f", "dk", "th", (F.col("s") + first).alias("s"), windows.alias("n"), text.alias("context")
-        )
-        core = F.col("context").substr(F.col("n").cast("int"), (LENGTH + 1 - F.col("n")).cast("int"))
-        return part.select(
-            F.xxhash64("f", F.lit(side), "n", core).alias("f"),
-            F.xxhash64("context").alias("k"),
+    """The parts of every run on either side of the middle of its anchor's distances.
+
+    The windows of an anchor are ``low`` to ``high`` bytes before it; a run's first is ``o``
+    before it. What the windows of half of the distances share is the same for equal
+    windows, whatever run they are in.
+    """
+    middle, at = F.expr("(low + high) div 2"), F.col("o")
+    split = runs.withColumn("middle", middle).withColumn(
+        "far", F.greatest(F.lit(0), F.least(F.col("n"), at - F.col("middle")))
+    )
+
+    def half(side: int, first: Column, windows: Column, low: Column, high: Column) -> DataFrame:
+        def cut(start: Column, size: Column) -> Column:
+            return F.col("context").substr((start + 1).cast("int"), size.cast("int"))
+
+        shared = cut(at - low, low + LENGTH - high)
+        text = cut(first, windows + LENGTH - 1)
+        return split.where(windows > 0).select(
+            F.xxhash64("f", F.lit(side), shared).alias("f"),
+            F.xxhash64(text, at - first).alias("k"),
             "dk",
             "th",
-            "s",
-            "n",
-            "context",
+            (F.col("s") + first).alias("s"),
+            windows.alias("n"),
+            (at - first).alias("o"),
+            low.alias("low"),
+            high.alias("high"),
+            text.alias("context"),
         )
 
-    return half(0, F.lit(0), middle).unionAll(half(1, middle, n - middle))
+    far, middle = F.col("far"), F.col("middle")
+    return half(0, F.lit(0), far, middle + 1, F.col("high")).unionAll(
+        half(1, far, F.col("n") - far, F.col("low"), middle)
+    )
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,13 +245,14 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     whole, differing = _decided(materialized(runs))
     found = [whole]
 
-    wanted = differing.groupBy("dk", "th").agg(F.collect_list(F.struct("f", "s", "n")).alias("runs"))
+    wanted = differing.groupBy("dk", "th").agg(F.collect_list(F.struct("f", "s", "n", "o")).alias("runs"))
     context = F.expr(f"substring(CAST(text AS BINARY), CAST(s AS INT) + 1, CAST(n AS INT) + {LENGTH - 1})")
     left = materialized(
         _keyed(docs)
         .join(wanted, ["dk", "th"])
         .selectExpr("dk", "th", "text", "inline(runs)")
-        .select("f", "dk", "th", "s", "n", context.alias("context"))
+        .selectExpr("*", "0L AS low", f"{LENGTH - GRAM}L AS high")
+        .select("f", "dk", "th", "s", "n", "o", "low", "high", context.alias("context"))
     )
     while True:
         sizes = materialized(left.groupBy("f").agg(F.count(F.lit(1)).alias("runs")))
