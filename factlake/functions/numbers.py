@@ -1,12 +1,23 @@
-"""Rounding that does not depend on a double's printed form."""
+"""Digits of any script, and rounding that does not depend on a double's printed form."""
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
 _SCALE = 1 << 62
+#: Decimal digits of all scripts but ASCII's; patterns accept them, casts don't.
+_OTHER_DIGITS = "".join(
+    chr(c) for c in range(128, 0x110000) if unicodedata.category(chr(c)) == "Nd"
+)
+_THEIR_VALUES = "".join(str(unicodedata.decimal(d)) for d in _OTHER_DIGITS)
+
+
+def ascii_digits(col: Column) -> Column:
+    """The text with every decimal digit written as 0 to 9."""
+    return F.translate(col, _OTHER_DIGITS, _THEIR_VALUES)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from factlake.functions import fixed_values as fv
-from factlake.functions.numbers import let
+from factlake.functions.numbers import ascii_digits, let
 from factlake.functions.regex import jvm, matches
 
 SPAN = "struct<pii_type:string,value:string,start:int,end:int>"
@@ -27,7 +27,7 @@ _FIRST = {
 
 def luhn_ok(card: Column) -> Column:
     """Luhn checksum of 13 to 19 digits with separators between them."""
-    digits = F.split(F.reverse(F.regexp_replace(card, r"\P{Nd}", "")), "")
+    digits = F.split(F.reverse(ascii_digits(F.regexp_replace(card, r"\P{Nd}", ""))), "")
 
     def worth(d: Column, i: Column) -> Column:
         n = d.cast("int")

@@ -53,27 +53,33 @@ def resolve_coreferences(sentences: Column, coref: str = "compat") -> Column:
         raise ValueError(f"coref must be 'compat' or 'previous', not {coref!r}")
     noun = jvm(fv.PROPER_NOUN)
 
-    def antecedent(position: Column) -> Column:
-        seen = position + 1 if coref == "compat" else position
-        nouns = F.transform(
-            F.slice(sentences, 1, seen), lambda s: F.regexp_extract(s, noun, 1)
-        )
-        usable = F.filter(
-            nouns,
-            lambda n: (n != "")
-            if coref == "compat"
-            else (n != "") & (F.regexp_extract(n, _PRONOUNS, 1) != n),
+    def marked(sentence: Column) -> Column:
+        found = F.regexp_extract(sentence, noun, 1)
+        usable = found != ""
+        if coref == "previous":
+            usable &= F.regexp_extract(found, _PRONOUNS, 1) != found
+        return F.struct(
+            sentence.alias("sentence"),
+            F.when(usable, found).alias("noun"),
+            F.regexp_extract(sentence, _PRONOUNS, 1).alias("pronoun"),
         )
-        return F.try_element_at(usable, F.lit(-1))
 
-    def resolved(sentence: Column, position: Column) -> Column:
-        pronoun = F.regexp_extract(sentence, _PRONOUNS, 1)
-        rest = F.substr(sentence, F.length(pronoun) + 1)
-        return F.when(
-            pronoun != "", F.coalesce(F.concat(antecedent(position), rest), sentence)
-        ).otherwise(sentence)
+    def step(so_far: Column, s: Column) -> Column:
+        last = F.coalesce(s["noun"], so_far["last"])
+        antecedent = last if coref == "compat" else so_far["last"]
+        rest = F.substr(s["sentence"], F.length(s["pronoun"]) + 1)
+        resolved = F.when(
+            s["pronoun"] != "", F.coalesce(F.concat(antecedent, rest), s["sentence"])
+        ).otherwise(s["sentence"])
+        return F.struct(
+            last.alias("last"), F.concat(so_far["out"], F.array(resolved)).alias("out")
+        )
 
-    return F.transform(sentences, resolved)
+    start = F.struct(
+        F.lit(None).cast("string").alias("last"), F.array().cast("array<string>").alias("out")
+    )
+    # Each sentence is looked at once; the last noun is carried along.
+    return F.aggregate(F.transform(sentences, marked), start, step, lambda done: done["out"])
 
 
 def with_claims(

@@ -7,8 +7,9 @@ of their groups.  Instead the tokens are split by their number of entries:
 * A token held by few entries (``rare``) is joined as it is: at most ``hot_df``
   candidates per claim token, whatever the claim side looks like.
 * For frequent (``hot``) tokens, entries with the same set of hot tokens score alike
-  for every claim but for their credibility, so only the best k of each such set
-  (a *profile*) can matter.  A claim reaches profiles only through those hot tokens
+  for every claim but for their credibility, so of each such set (a *profile*) only the
+  first k of every credibility can matter, and of the credibilities those that rounding
+  could make equal to the k-th best.  A claim reaches profiles only through those hot tokens
   without which no entry could reach the claim's k-th best score so far.
 
 Scores are sums of token weights in units of 1e-12 as integers, so they do not
@@ -32,6 +33,8 @@ HOT_DF = 256
 _UNIT = 1e12
 # Half a unit of the fourth decimal and a margin for the double arithmetic.
 _ROUNDING = 6e-5
+# Credibilities further apart than this give scores that differ after rounding.
+_TIE = 1.1e-4 / fv.KB_CREDIBILITY_WEIGHT
 
 
 def _weight(idf: Column) -> Column:
@@ -87,11 +90,18 @@ class KnowledgeIndex:
         marks = materialized(
             kb.select("kb_id", credibility.alias("credibility")).join(hot_sets, "kb_id", "left")
         )
+        alike = Window.partitionBy("hot", "credibility").orderBy("kb_id")
         best = Window.partitionBy("hot").orderBy(F.desc("credibility"), "kb_id")
+        kth = F.min(F.when(F.col("place") == k, F.col("credibility"))).over(
+            Window.partitionBy("hot")
+        )
         profiles = (
             marks.where(F.col("hot").isNotNull())
-            .withColumn("place", F.row_number().over(best))
+            .withColumn("place", F.row_number().over(alike))
             .where(F.col("place") <= k)
+            .withColumn("place", F.row_number().over(best))
+            .withColumn("kth", kth)
+            .where(F.col("kth").isNull() | (F.col("credibility") >= F.col("kth") - _TIE))
             .groupBy("hot")
             .agg(F.collect_list(F.struct("credibility", "kb_id")).alias("champions"))
         )
@@ -250,7 +260,14 @@ def score_entries(claims: DataFrame, index: KnowledgeIndex) -> DataFrame:
 
 
 def retrieve_evidence(claims: DataFrame, index: KnowledgeIndex) -> DataFrame:
-    """The best k entries per claim with their source, snippet and url."""
-    return score_entries(claims, index).join(
-        index.entries.select("kb_id", "source", "snippet", "url"), "kb_id"
+    """The best k entries per claim with their source, snippet and url.
+
+    A missing source is "unknown", a missing snippet or url is empty.
+    """
+    texts = index.entries.select(
+        "kb_id",
+        F.coalesce("source", F.lit(fv.UNKNOWN_SOURCE)).alias("source"),
+        F.coalesce("snippet", F.lit("")).alias("snippet"),
+        F.coalesce("url", F.lit("")).alias("url"),
     )
+    return score_entries(claims, index).join(texts, "kb_id")

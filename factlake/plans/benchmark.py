@@ -31,5 +31,6 @@ class Benchmark:
         return failed_checks(self.results)
 
 
-def run_benchmark(cases: DataFrame, predictions: DataFrame, order: str | None = None) -> Benchmark:
+def run_benchmark(cases: DataFrame, predictions: DataFrame, order: str) -> Benchmark:
+    """``order``: the column of ``predictions`` by which a case's first one counts."""
     return Benchmark(case_results(cases, predictions, order))

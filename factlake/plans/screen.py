@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,7 +19,7 @@ from factlake.operators.screening import (
     without_score,
     worst_level,
 )
-from factlake.session import materialized
+from factlake.operators.validation import split
 
 NAMED_SPANS = "array<struct<pii_type:string,value:string,start:int,end:int,placeholder:string>>"
 
@@ -130,18 +131,28 @@ def screen(prompts: DataFrame, options: ScreenOptions = ScreenOptions()) -> Data
     )
 
 
-def screen_prompts(
-    prompts: DataFrame, options: ScreenOptions = ScreenOptions()
-) -> tuple[DataFrame, DataFrame]:
-    """``(results, vault)`` of a batch of prompts.
+class Screening(NamedTuple):
+    """``results`` and ``rejected`` together hold every prompt once.
 
-    The results never hold an original value; those are in the vault only.  Both are
-    read from one screened table in the shared folder, so that the prompts are
-    screened once and filters on the results do not run the rules again.
+    Original values are in ``vault`` only. The tables are plans of their own: nothing is
+    run or written down until the caller does, and no value reaches a scratch table.
     """
-    done = materialized(screen(prompts, options))
+
+    results: DataFrame
+    vault: DataFrame
+    rejected: DataFrame
+
+
+def screen_prompts(prompts: DataFrame, options: ScreenOptions = ScreenOptions()) -> Screening:
+    """Screens a batch of prompts; null and empty ones are rejected with their problem."""
+    problem = F.when(F.col("prompt").isNull(), "prompt is missing").when(
+        F.col("prompt") == "", "prompt is shorter than 1"
+    )
+    checked = prompts.withColumn("problems", F.array_compact(F.array(problem)))
+    valid, rejected = split(checked)
+    done = screen(valid, options)
     vault = done.where(F.size("pii_mapping") > 0).select("prompt_id", "pii_mapping")
-    return done.drop("pii_mapping"), vault
+    return Screening(done.drop("pii_mapping"), vault, rejected)
 
 
 def restore_pii(responses: DataFrame, vault: DataFrame, text: str = "response") -> DataFrame:

@@ -54,7 +54,7 @@ def predictions(spark):
 
 
 def test_golden_run(dataset, predictions):
-    run = run_benchmark(dataset, predictions)
+    run = run_benchmark(dataset, predictions, "processing_time_ms")
     row = run.summary.first()
     assert (row["total_cases"], row["passed_cases"], row["failed_cases"]) == (5, 4, 1)
     for name in ("claim_accuracy", "verdict_accuracy", "verdict_precision", "verdict_recall", "verdict_f1"):
@@ -71,7 +71,7 @@ def test_golden_run(dataset, predictions):
 
 
 def test_no_case_gives_zeros(dataset, predictions):
-    row = run_benchmark(dataset.where("false"), predictions).summary.first()
+    row = run_benchmark(dataset.where("false"), predictions, "processing_time_ms").summary.first()
     assert (row["total_cases"], row["mean_verdict_f1"], row["recommendations"]) == (0, 0.0, [])
 
 
@@ -79,7 +79,7 @@ def test_imperfect_prediction(spark, dataset):
     extracted = [("LIMA IS THE CAPITAL OF PERU.", "factual", 0.9), ("Something else.", "factual", 0.9)]
     verdicts = [("lima is the capital of peru.", C, 1.0, [], ""), ("Something else.", S, 1.0, [1], "")]
     predictions = spark.createDataFrame([("case_001_all_good", extracted, verdicts, 0.9, "HIGH", [], 1)], schemas.PREDICTIONS)
-    row = run_benchmark(dataset, predictions).results.first()
+    row = run_benchmark(dataset, predictions, "processing_time_ms").results.first()
     assert (row["claim_accuracy"], row["claim_precision"], row["claim_f1"]) == (0.5, 0.5, 0.5)
     assert (row["verdict_accuracy"], row["verdict_f1"], row["citation_coverage"]) == (0.0, 0.0, 1.0)
     assert [i.split(":")[0] for i in row["failed_checks"]] == [
@@ -149,7 +149,7 @@ def test_feedback_round_trip(spark, tmp_path):
 
 def test_json_report(spark, dataset, predictions, tmp_path):
     path = str(tmp_path / "report")
-    write_json_report(run_benchmark(dataset, predictions).summary, path, "sample", "1")
+    write_json_report(run_benchmark(dataset, predictions, "processing_time_ms").summary, path, "sample", "1")
     document = json.loads(spark.read.text(path).first()[0])
     assert document["dataset_name"] == "sample" and document["aggregate_results"]["total_cases"] == 5
 

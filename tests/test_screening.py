@@ -145,7 +145,7 @@ def test_blocked_prompt(spark):
 def test_placeholders_belong_to_their_spans_and_values_stay_in_the_vault(spark):
     text = "Call 555-123-4567, mail a@b.org or c@d.org"
     prompts = _prompts(spark, text)
-    results, vault = screen_prompts(prompts)
+    results, vault, _ = screen_prompts(prompts)
     row = results.first()
     assert row["sanitized"] == "Call [PHONE_1], mail [EMAIL_1] or [EMAIL_2]"
     assert [(p["pii_type"], p["placeholder"]) for p in row["pii"]] == [

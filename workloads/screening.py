@@ -76,7 +76,7 @@ def sanitized(spark, sf) -> DataFrame:
 
 
 def screened(spark, sf) -> DataFrame:
-    results, _ = screen_prompts(prompts(spark, sf))
+    results, _, _ = screen_prompts(prompts(spark, sf))
     return results.select(
         "prompt_id",
         "overall_risk",
@@ -91,7 +91,7 @@ def screened(spark, sf) -> DataFrame:
 
 
 def screened_by_risk(spark, sf) -> DataFrame:
-    results, _ = screen_prompts(prompts(spark, sf))
+    results, _, _ = screen_prompts(prompts(spark, sf))
     return results.groupBy("overall_risk", "blocked").agg(
         F.count(F.lit(1)).alias("n_prompts"),
         F.sum("pii_count").alias("n_pii"),
@@ -102,7 +102,7 @@ def screened_by_risk(spark, sf) -> DataFrame:
 def screened_without_gates(spark, sf) -> DataFrame:
     """Injection check off, toxicity threshold above every score: nothing is blocked."""
     options = ScreenOptions(check_injection=False, toxicity_threshold=1.1)
-    results, _ = screen_prompts(prompts(spark, sf), options)
+    results, _, _ = screen_prompts(prompts(spark, sf), options)
     return results.groupBy("overall_risk", "blocked").agg(
         F.count(F.lit(1)).alias("n_prompts"), F.sum("pii_count").alias("n_pii")
     )
@@ -111,7 +111,7 @@ def screened_without_gates(spark, sf) -> DataFrame:
 def restored_prompts(spark, sf) -> DataFrame:
     """Scrub, then restore: every prompt that is not blocked comes back unchanged."""
     source = prompts(spark, sf)
-    results, vault = screen_prompts(source)
+    results, vault, _ = screen_prompts(source)
     back = restore_pii(
         results.where(~F.col("blocked")).select("prompt_id", F.col("sanitized").alias("response")), vault
     )
