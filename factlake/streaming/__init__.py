@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from factlake.operators.retrieval import KnowledgeIndex
@@ -56,10 +56,14 @@ def feedback_stream(corrections: DataFrame, path: str, checkpoint: str) -> Strea
 
 
 def feedback_totals_stream(corrections: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Running totals per correction pair; the state has one row per pair of verdicts."""
+    """Running totals per correction pair; the state has one row per pair of verdicts.
+
+    Every batch writes a folder of its own, so readers always find whole totals and a batch
+    that is repeated after a failure replaces itself only; see ``read_totals``.
+    """
 
     def write(totals: DataFrame, batch_id: int) -> None:
-        totals.write.mode("overwrite").parquet(path)
+        totals.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     pairs = corrections.groupBy("predicted_verdict", "correct_verdict").count()
     return (
@@ -71,6 +75,13 @@ def feedback_totals_stream(corrections: DataFrame, path: str, checkpoint: str) -
     )
 
 
+def read_totals(spark: SparkSession, path: str) -> DataFrame:
+    """The newest totals that ``feedback_totals_stream`` has written to ``path``."""
+    batches = spark.read.parquet(path)
+    newest = batches.agg(F.max("batch_id")).scalar()
+    return batches.where(F.col("batch_id") == newest).drop("batch_id")
+
+
 def _started(df: DataFrame, write, checkpoint: str) -> StreamingQuery:
     return (
         df.writeStream.foreachBatch(write)

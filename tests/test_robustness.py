@@ -12,7 +12,7 @@ from factlake.operators.claims import resolve_coreferences
 from factlake.operators.evaluation import evaluate_risk
 from factlake.operators.retrieval import KnowledgeIndex, retrieve_evidence, score_entries
 from factlake.plans.screen import screen_prompts
-from factlake.streaming import feedback_totals_stream
+from factlake.streaming import feedback_totals_stream, read_totals
 
 FULL = str.maketrans("0123456789", "０１２３４５６７８９")
 ARABIC = str.maketrans("0123456789", "٠١٢٣٤٥٦٧٨٩")
@@ -106,5 +106,5 @@ def test_totals_keep_every_state(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
     feedback_totals_stream(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
-    out = {(r["predicted_verdict"], r["correct_verdict"]): r["count"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    out = {(r["predicted_verdict"], r["correct_verdict"]): r["count"] for r in read_totals(spark, f"{tmp_path}/out").collect()}
     assert out == {("A", "B"): 2, ("A", "C"): 1}

@@ -115,6 +115,29 @@ answers AS (
   FROM turns WHERE role = 'assistant')"""
 
 
+# ---- the same answers as users might submit them: some incomplete, some without a claim
+
+
+def submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("answer_id") % 11
+    return answers(spark, sf_dir).withColumns(
+        {
+            "question": F.when(kind != 1, F.col("question")),
+            "answer": F.when(kind == 2, "")
+            .when(kind == 3, "I think so.")
+            .when(kind != 4, F.col("answer")),
+        }
+    )
+
+
+SUBMITTED_SQL = ANSWERS_SQL.replace("\nanswers AS (", "\ngiven AS (") + """,
+answers AS (
+  SELECT answer_id, CASE WHEN answer_id % 11 <> 1 THEN question END AS question,
+         CASE answer_id % 11 WHEN 2 THEN '' WHEN 3 THEN 'I think so.' WHEN 4 THEN NULL ELSE answer
+         END AS answer, trusted_sources
+  FROM given)"""
+
+
 # ---- knowledge base: the sentences of all documents --------------------------------
 
 

@@ -42,7 +42,7 @@ from factlake.operators.validation import (
     validate_prompts,
 )
 from factlake.plans.screen import detect_toxicity
-from workloads.base import ANSWERS_SQL, CLAIMS_SQL, answers, pick, sql_pick, table
+from workloads.base import ANSWERS_SQL, CLAIMS_SQL, SUBMITTED_SQL, answers, pick, sql_pick, submitted, table
 from workloads.screening import PROMPTS_SQL, TOXICITY_SQL, prompts
 
 _VERDICTS = ["SUPPORTED", "CONTRADICTED", "NOT_ENOUGH_EVIDENCE"]
@@ -258,7 +258,7 @@ def _problems(checked: DataFrame, key: str) -> DataFrame:
 
 
 def rejected_answers(spark, sf) -> DataFrame:
-    return _problems(validate_answers(answers(spark, sf)), "answer_id")
+    return _problems(validate_answers(submitted(spark, sf)), "answer_id")
 
 
 def rejected_prompts(spark, sf) -> DataFrame:
@@ -429,7 +429,7 @@ ORACLES = {
         WHERE predicted_verdict <> correct_verdict GROUP BY 1""",
     "feedback_corrections": f"""WITH {FEEDBACK_SQL} SELECT predicted_verdict, correct_verdict, count(*) AS n_corrections
         FROM feedback WHERE predicted_verdict <> correct_verdict GROUP BY 1, 2""",
-    "rejected_answers": f"WITH {ANSWERS_SQL} " + _rejected_sql("answer_id", "answers",
+    "rejected_answers": f"WITH {SUBMITTED_SQL} " + _rejected_sql("answer_id", "answers",
         _length_sql("question", "question", 5000), _length_sql("answer", "answer", 50000)),
     "rejected_prompts": _rejected_sql("doc_id", "documents", _length_sql("prompt", "text", 50000),
         _length_sql("system_prompt", "repeat(lang, (doc_id % 60 * 100)::INT)", 10000, 0, True)),
