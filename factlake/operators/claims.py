@@ -82,43 +82,51 @@ def resolve_coreferences(sentences: Column, coref: str = "compat") -> Column:
     return F.aggregate(F.transform(sentences, marked), start, step, lambda done: done["out"])
 
 
+def _starts(parts: Column) -> Column:
+    """Where each part starts if one character stands between two, in one pass."""
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(so_far: Column, part: Column) -> Column:
+        return F.struct(
+            (so_far["at"] + F.length(part) + 1).alias("at"),
+            F.concat(so_far["out"], F.array(so_far["at"])).alias("out"),
+        )
+
+    return F.aggregate(parts, empty, step, lambda done: done["out"])
+
+
 def with_claims(
     answers: DataFrame,
     text: str = "answer",
-    max_claims: int = fv.MAX_CLAIMS,
+    max_claims: int | None = fv.MAX_CLAIMS,
     coref: str = "compat",
 ) -> DataFrame:
-    """Add ``claims``: the first ``max_claims`` factual claims of each answer.
+    """Add ``claims``: the first ``max_claims`` factual claims of each answer, all if None.
 
-    Offsets count the split parts, factual or not, with one character between two.
+    ``claims_cut`` is the number of claims beyond the limit. Offsets count the split parts,
+    factual or not, with one character between two.
     """
     staged = (
         answers.withColumn("_sentences", split_sentences(F.col(text)))
         .withColumn("_sentences", resolve_coreferences(F.col("_sentences"), coref))
         .withColumn("_parts", split_conjunctions(F.col("_sentences")))
         .withColumn(
-            "_claims",
-            F.slice(
-                F.filter(
-                    F.transform(
-                        "_parts",
-                        lambda p, i: F.struct(
-                            normalize_whitespace(p).alias("text"), i.alias("part")
-                        ),
-                    ),
-                    lambda c: is_factual(c["text"]),
+            "_all",
+            F.filter(
+                F.transform(
+                    "_parts",
+                    lambda p, i: F.struct(normalize_whitespace(p).alias("text"), i.alias("part")),
                 ),
-                1,
-                max_claims,
+                lambda c: is_factual(c["text"]),
             ),
         )
-        .withColumn("_widths", F.transform("_parts", lambda p: F.length(p) + 1))
+        .withColumn("_claims", F.slice("_all", 1, max_claims) if max_claims else F.col("_all"))
+        .withColumn("claims_cut", F.size("_all") - F.size("_claims"))
+        .withColumn("_starts", _starts(F.col("_parts")))
     )
 
     def finished(claim: Column, index: Column) -> Column:
-        start = F.aggregate(
-            F.slice("_widths", 1, claim["part"]), F.lit(0), lambda a, w: a + w
-        )
+        start = F.get("_starts", claim["part"])
         return F.struct(
             index.alias("claim_index"),
             claim["text"].alias("text"),
@@ -129,7 +137,7 @@ def with_claims(
         )
 
     return staged.withColumn("claims", F.transform("_claims", finished)).drop(
-        "_sentences", "_parts", "_claims", "_widths"
+        "_sentences", "_parts", "_all", "_claims", "_starts"
     )
 
 
