@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from factlake.functions import fixed_values as fv
 from factlake.functions.numbers import exact_round
@@ -30,6 +30,7 @@ from factlake.session import materialized
 
 CLAIM_KEY = ["answer_id", "claim_index"]
 HOT_DF = 256
+_TABLES = ("entries", "stats", "rare", "marks", "profiles")
 _UNIT = 1e12
 # Half a unit of the fourth decimal and a margin for the double arithmetic.
 _ROUNDING = 6e-5
@@ -56,7 +57,9 @@ def kb_idf(kb: DataFrame) -> DataFrame:
 class KnowledgeIndex:
     """A knowledge base prepared for retrieval with up to ``k`` results.
 
-    ``stats`` and ``marks``, which several steps read, are written to the shared folder.
+    All tables but the entries are written to the shared folder once, so that no batch,
+    round or stream goes through the knowledge base again; ``save`` keeps an index for
+    other sessions.
     """
 
     entries: DataFrame  # the knowledge base itself
@@ -108,15 +111,31 @@ class KnowledgeIndex:
         return cls(
             entries=kb,
             stats=stats,
-            rare=postings.join(
-                stats.where(F.col("df") <= hot_df).select("token"), "token"
+            rare=materialized(
+                postings.join(stats.where(F.col("df") <= hot_df).select("token"), "token")
             ),
             marks=marks,
-            profiles=unnest(profiles, "hot", "hot", "champions", name="token"),
+            profiles=materialized(unnest(profiles, "hot", "hot", "champions", name="token")),
             hot_df=hot_df,
             k=k,
         )
 
+    def save(self, path: str) -> None:
+        """Write the index below ``path``; the folder must be new."""
+        for name in _TABLES:
+            getattr(self, name).write.parquet(f"{path}/{name}")
+        limits = self.stats.sparkSession.createDataFrame(
+            [(self.hot_df, self.k)], "hot_df long, k long"
+        )
+        limits.write.parquet(f"{path}/limits")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> KnowledgeIndex:
+        """An index that ``save`` has written."""
+        limits = spark.read.parquet(f"{path}/limits").first()
+        tables = {name: spark.read.parquet(f"{path}/{name}") for name in _TABLES}
+        return cls(**tables, hot_df=limits["hot_df"], k=limits["k"])
+
 
 def query_text(claim: Column, sources: Column) -> Column:
     """Trusted sources (or the default ones) followed by the claim."""

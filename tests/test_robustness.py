@@ -108,3 +108,15 @@ def test_totals_keep_every_state(spark, tmp_path):
     feedback_totals_stream(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
     out = {(r["predicted_verdict"], r["correct_verdict"]): r["count"] for r in read_totals(spark, f"{tmp_path}/out").collect()}
     assert out == {("A", "B"): 2, ("A", "C"): 1}
+
+
+def test_saved_index_answers_alike(spark, tmp_path):
+    kb = [(k, "News", "s", "u", ["river", f"w{k % 7}"], 0.5 + k / 100) for k in range(30)]
+    kb = spark.createDataFrame(
+        kb, "kb_id long, source string, snippet string, url string, keywords array<string>, source_credibility double"
+    )
+    claims = spark.createDataFrame([(1, 0, "river w3")], "answer_id long, claim_index int, text string")
+    index = KnowledgeIndex.build(kb, hot_df=5)
+    index.save(f"{tmp_path}/index")
+    again = KnowledgeIndex.load(spark, f"{tmp_path}/index")
+    assert sorted(score_entries(claims, index).collect()) == sorted(score_entries(claims, again).collect())
