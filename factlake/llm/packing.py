@@ -31,7 +31,6 @@ from factlake.llm.tokens import ids_of
 CAPACITY = 2048
 END_ID = 0
 _PIECES = "array<struct<piece: int, start: bigint, length: bigint, ids_crc32: bigint>>"
-#: Ids of a text worked on at once; longer texts are encoded whole but summed in parts.
 
 
 def _cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -153,9 +152,10 @@ def _ranked(pieces: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     """``pieces`` with their rank among those of equal length, and the number of each."""
     ordered = pieces.repartitionByRange("length", "uid").sortWithinPartitions("length", "uid")
     ordered = materialized(ordered.withColumn("place", F.monotonically_increasing_id()))
-    counts = {r["length"]: r["n"] for r in ordered.groupBy("length").agg(F.count("*").alias("n")).collect()}
     part = F.shiftright("place", 33)
-    parts = sorted(map(tuple, ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()))
+    number = F.count(F.lit(1)).alias("n")
+    counts = dict(map(tuple, ordered.groupBy("length").agg(number).collect()))
+    parts = sorted(map(tuple, ordered.groupBy(part.alias("p")).agg(number).collect()))
     before = np.concatenate([[0], np.cumsum([n for _, n in parts])])
     offsets = _small(pieces, [(p, int(b)) for (p, _), b in zip(parts, before)], "p before")
     lengths = sorted(counts)
@@ -177,10 +177,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Repeated rows are pieces of their own; an empty table gives an empty one. The columns
     uid, rank, sequence_id and offset are this function's.
     """
-    columns = [c for c in pieces.columns]
+    columns = pieces.columns
     pieces = materialized(pieces.withColumn("uid", F.monotonically_increasing_id()))
     full = pieces.where(F.col("length") == capacity)
-    packed = full.select(*columns, F.col("uid").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    packed = full.selectExpr(*columns, "uid AS sequence_id", "0L AS offset")
     ranked, counts = _ranked(pieces.where(F.col("length") < capacity))
     if not counts:
         return packed

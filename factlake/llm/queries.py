@@ -5,7 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factlake.llm import bpe, extraction, lines, packing, quality, repeats, secrets, sharding, simhash, topk
+from factlake.llm import (
+    bpe,
+    extraction,
+    lines,
+    packing,
+    quality,
+    repeats,
+    secrets,
+    sharding,
+    simhash,
+    topk,
+)
 from factlake.llm.common import sha256_hex, table
 
 SPECIAL_ID = 50256

@@ -160,7 +160,7 @@ def _decided(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     per_f = runs.groupBy("f").agg(
         F.count(F.lit(1)).alias("runs"), F.min("k").alias("low"), F.max("k").alias("high")
     )
-    per_f = materialized(per_f.where("runs > 1").select("f", (F.col("low") != F.col("high")).alias("many")))
+    per_f = materialized(per_f.where("runs > 1").selectExpr("f", "low != high AS many"))
     more = [c for c in runs.columns if c not in ("f", "k", *where)]
     hits = materialized(runs.join(per_f, "f"))
     classes = hits.where("many").groupBy("f", "k")
@@ -245,8 +245,12 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     whole, differing = _decided(materialized(runs))
     found = [whole]
 
-    wanted = differing.groupBy("dk", "th").agg(F.collect_list(F.struct("f", "s", "n", "o")).alias("runs"))
-    context = F.expr(f"substring(CAST(text AS BINARY), CAST(s AS INT) + 1, CAST(n AS INT) + {LENGTH - 1})")
+    wanted = differing.groupBy("dk", "th").agg(
+        F.collect_list(F.struct("f", "s", "n", "o")).alias("runs")
+    )
+    context = F.expr(
+        f"substring(CAST(text AS BINARY), CAST(s AS INT) + 1, CAST(n AS INT) + {LENGTH - 1})"
+    )
     left = materialized(
         _keyed(docs)
         .join(wanted, ["dk", "th"])
@@ -259,7 +263,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         large = materialized(sizes.where(F.col("runs") > GROUP).select("f"))
         small = left.join(large, "f", "left_anti").select("f", "dk", "th", "s", "context")
         grouped = small.repartition("f").sortWithinPartitions("f")
-        found.append(materialized(grouped.mapInArrow(_index, "dk bigint, th bigint, s bigint, n bigint")))
+        matched = grouped.mapInArrow(_index, "dk bigint, th bigint, s bigint, n bigint")
+        found.append(materialized(matched))
         if large.isEmpty():
             return reduce(DataFrame.unionAll, found)
         whole, left = _decided(materialized(_halves(left.join(large, "f", "left_semi"))))

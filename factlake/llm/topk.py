@@ -42,7 +42,8 @@ def quantised(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     x = F.col(vector)
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     whole = F.transform(x, lambda c: F.floor(SCALE * c.cast("double")))
-    rows = vectors.where(F.col(vec_id).isNotNull() & x.isNotNull() & F.coalesce(finite, F.lit(False)))
+    takes_part = F.col(vec_id).isNotNull() & x.isNotNull() & F.coalesce(finite, F.lit(False))
+    rows = vectors.where(takes_part)
     return rows.select(F.col(vec_id).cast("bigint").alias("vec_id"), whole.alias("x"))
 
 
@@ -142,7 +143,8 @@ class BlockIndex:
             else:
                 above, equal = more, equal & ~sums[level]
         # What the bits left out can add, in units of the kept ones.
-        slack = (((1 << self.shift) - 1) * int(np.abs(query).astype(object).sum()) >> self.shift) + 1
+        weight = int(np.abs(query).astype(object).sum())
+        slack = (((1 << self.shift) - 1) * weight >> self.shift) + 1
         least = max(0, kth - slack)
         above, equal = np.zeros_like(valid), valid
         for level in range(len(sums) - 1, -1, -1):
