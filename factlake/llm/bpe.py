@@ -104,7 +104,7 @@ class Merges:
                 for x, x_comes, x_goes in self._edge(left, 1)
                 for y, y_comes, y_goes in self._edge(right, 0)
             )
-            if len(self._fits) > 250_000:
+            if len(self._fits) > 500_000:
                 self._fits.clear()
         return known
 
@@ -131,7 +131,7 @@ class _State(dict):
 class Transducer:
     """Bytes in, ids out, one match of the pattern at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 80_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 400_000) -> None:
         self.merges, self.most_states = Merges(ranks), most_states
         self._reset()
 
@@ -282,7 +282,7 @@ class Decoder:
 class Coder(dict):
     """Match of the pattern -> its ids, for the matches seen often enough to be kept."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_matches: int = 60_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_matches: int = 200_000) -> None:
         super().__init__()
         self.transducer, self.decoder = Transducer(ranks), Decoder(ranks)
         self.matches = regex.compile(pattern).findall
