@@ -27,10 +27,10 @@ SPANS_TYPE = "array<struct<kind: string, start: bigint, end: bigint>>"
 
 @dataclass(frozen=True)
 class Rule:
-    """``head`` followed by one or more of the class ``tail``.
+    """``head`` followed by one or more of the class ``tail``, then ``rest`` if it is there.
 
     A match counts if its tail has ``least`` characters; others are dropped after they
-    were matched. ``sure``: so many tail characters are asked for before a start is marked,
+    were matched. ``rest`` lengthens a match but doesn't decide where one starts. ``sure``: so many tail characters are asked for before a start is marked,
     which may be over 1 only where it can't change what matches.
     """
 
@@ -40,6 +40,7 @@ class Rule:
     least: int
     sure: int = 1
     any_case: bool = False
+    rest: str = ""
 
 
 # The three base rules.
@@ -54,12 +55,23 @@ BASE_RULES = (
     Rule("access", r"AKIA", r"[A-Z0-9]", 12),
     Rule("hex", r"", r"[0-9a-f]", 32, sure=32),
 )
+#: A line break as such or written as \\n; white space or these; a key's characters.
+_BREAK = r"[\x20\x09]*([\x0a\x0d]|\x5c+[nr])[\x20\x09]*"
+_SPACE = r"([\x20\x09\x0a\x0d]|\x5c+[nr])*"
+_BASE64 = r"[A-Za-z0-9+/=_-]"
+#: All up to the END line; or, where there is none before the next five dashes, the header
+#: fields and body lines: stretches of at least 16 characters, and a shorter last line.
+_KEY_BODY = (
+    r"(-?-?-?-?[\x00-\x2c\x2e-\xff])*-----END ([A-Z]+ )*PRIVATE KEY-----"
+    rf"|(({_BREAK})+[A-Z][A-Za-z-]*:[\x20-\x5b\x5d-\xff]*)*"
+    rf"({_SPACE}{_BASE64 * 15}{_BASE64}+)+(({_BREAK})+[A-Za-z0-9+/=]+)?"
+)
 MORE_RULES = (
     Rule("github", r"gh[pousr]_", r"[A-Za-z0-9]", 36),
     Rule("slack", r"xox[abprs]-", r"[A-Za-z0-9-]", 10),
     Rule("google", r"AIza", r"[A-Za-z0-9_-]", 35),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.", r"[A-Za-z0-9_-]", 10),
-    Rule("private", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY----", r"[-]", 1),
+    Rule("private", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY----", r"[-]", 1, rest=_KEY_BODY),
 )
 RULES = BASE_RULES + MORE_RULES
 BASE_KINDS = tuple(rule.kind for rule in BASE_RULES)
@@ -303,7 +315,8 @@ class Scanner:
             starts.add(start)
             marked = ("seq", [head, *[tail] * (rule.sure - 1), ("some", tail)])
             ends[graph.add(_reversed(marked), start)] = k
-            self.whole.append(_alone(("seq", [head, ("some", tail)])))
+            rest = ("maybe", _Reader(rule.rest, rule.any_case).read())
+            self.whole.append(_alone(("seq", [head, ("some", tail), rest])))
             self.heads.append(_alone(head))
         self.marks = _determined(graph, starts, ends, anywhere=True)
 

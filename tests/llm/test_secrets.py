@@ -84,6 +84,26 @@ def test_more_kinds_and_masks(spark):
     assert masked[0] == "a [secret] b [secret] c [secret] d [secret] é [secret]"
 
 
+BEGIN, END = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+BODY = ["MIIEowIBAAKCAQEAx+/b" + "aB3/" * 11, "Zk9+" * 16, "q0Jx9w=="]
+FIELDS = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,3F17F5316E2BAC89", ""]
+
+
+def test_mask_covers_a_whole_key(spark):
+    cases = [("plain", f"x {BEGIN}\nand prose", "x [secret]\nand prose")]
+    for end in ("\n", "\r\n", "\\n", "\n    ", " "):
+        for fields in ([], FIELDS):
+            key = end.join([BEGIN, *fields, *BODY, END])
+            cases.append((repr(end), f"é {key}\nafter {key} {{}}", "é [secret]\nafter [secret] {}"))
+            # Cut off before the END line.
+            if end != " ":
+                key = end.join([BEGIN, *fields, *BODY])
+                cases.append((repr(end), f"{key}\n\n(after)", "[secret]\n\n(after)"))
+    df = spark.createDataFrame(cases, "name string, text string, want string").coalesce(1)
+    for row in df.withColumn("got", secrets.redacted(F.col("text"))).collect():
+        assert row["got"] == row["want"], row["name"]
+
+
 def test_minimal_automaton_is_as_small_as_its_language():
     scanner = secrets.Scanner((secrets.Rule("two", "", "[ab]", 2, sure=2),))
     assert len(scanner.marks.step) == 3
