@@ -3,7 +3,9 @@
 Documents of equal text are one group and never parted. Groups are ordered by the SHA-256
 of their text; a shard is a contiguous range of groups. The smallest capacity for which
 ``n_shards`` ranges suffice is found by search: a capacity is feasible if filling shard
-after shard greedily, each up to the capacity, uses up all groups.
+after shard greedily, each up to the capacity, uses up all groups. If one group is as large
+as that, the shards of several groups get the smallest capacity of their own by a second
+search, in which a larger group fills a shard alone. Shards left over halve the widest.
 
 The groups' running sums are a table, written in order. A greedy step is one look-up in it,
 "the last sum that is not beyond this target", and needs only rows within the largest
@@ -79,35 +81,82 @@ class _Sums:
         best = [F.max(F.when(c, F.col("upto"))) for c in near]
         return [x or 0 for x in self.table.where(any_near).agg(*best).first()]
 
-    def greedy(self, capacities: list[int], n_shards: int) -> list[list[int]]:
-        """The ends of each capacity's shards, filled one after the other."""
+    def first_after(self, starts: list[int]) -> list[int]:
+        """For each start the smallest running sum beyond it, or the total."""
+        upto = F.col("upto")
+        near = [(upto > a) & (upto <= a + self.largest) for a in starts]
+        any_near = near[0]
+        for condition in near[1:]:
+            any_near |= condition
+        best = [F.min(F.when(c, upto)) for c in near]
+        return [x or self.total for x in self.table.where(any_near).agg(*best).first()]
+
+    def greedy(
+        self, capacities: list[int], n_shards: int, alone: bool = False
+    ) -> list[list[int]]:
+        """The ends of each capacity's shards, filled one after the other.
+
+        With ``alone`` a group beyond the capacity is a shard by itself.
+        """
         ends: list[list[int]] = [[] for _ in capacities]
         at = [0] * len(capacities)
         for _ in range(n_shards):
+            start = at
             at = self.last_up_to([min(self.total, a + c) for a, c in zip(at, capacities)])
+            stuck = [k for k, a in enumerate(start) if at[k] <= a < self.total]
+            if alone and stuck:
+                for k, end in zip(stuck, self.first_after([start[k] for k in stuck])):
+                    at[k] = end
             for end, a in zip(ends, at):
                 end.append(a)
         return ends
 
+    def halved(self, ends: list[int], n_shards: int) -> list[int]:
+        """The ends with the widest shard of several groups halved until all are used."""
+        whole: set[int] = set()
+        while len(ends) < n_shards:
+            spans = [(end - a, a, end) for a, end in zip([0, *ends], ends) if end not in whole]
+            if not spans:
+                break
+            size, a, end = max(spans)
+            cut = self.last_up_to([a + size // 2])[0]
+            if cut <= a:
+                cut = self.first_after([a])[0]
+            if cut < end:
+                ends = sorted([*ends, cut])
+            else:
+                whole.add(end)
+        return ends
 
-def minimax_cuts(sums: DataFrame, n_shards: int = N_SHARDS) -> tuple[int, list[bytes]]:
-    """(smallest feasible capacity, keys of the last group of each shard but the last)."""
-    found = _Sums(sums)
-    if not found.total:
-        return 0, []
-    low = max(-(-found.total // n_shards), found.largest)
-    high = low + found.largest  # always feasible: no shard is left with room for a group
+
+def _smallest(found: _Sums, low: int, high: int, n_shards: int, alone: bool) -> int:
+    """The smallest feasible capacity from ``low`` to ``high``, which is feasible."""
     while low < high:
         step = max(1, (high - low) // (PROBES + 1))
         probes = sorted({min(high - 1, low + k * step) for k in range(PROBES)})
-        fine = [ends[-1] == found.total for ends in found.greedy(probes, n_shards)]
+        fine = [ends[-1] == found.total for ends in found.greedy(probes, n_shards, alone)]
         feasible = [c for c, ok in zip(probes, fine) if ok]
         short = [c for c, ok in zip(probes, fine) if not ok]
         high = min(feasible, default=high)
         low = max([low, *(c + 1 for c in short if c < high)])
-    ends = sorted({end for end in found.greedy([high], n_shards)[0] if end < found.total})
+    return high
+
+
+def minimax_cuts(sums: DataFrame, n_shards: int = N_SHARDS) -> tuple[int, list[bytes]]:
+    """(smallest feasible capacity, keys of the last group of each shard but the last)."""
+    found = _Sums(sums)
+    if not found.total:
+        return 0, []
+    low = max(-(-found.total // n_shards), found.largest)
+    # low + largest is always feasible: no shard is left with room for a group
+    capacity = _smallest(found, low, low + found.largest, n_shards, False)
+    level = capacity
+    if capacity == found.largest:
+        level = _smallest(found, 1, capacity, n_shards, True)
+    last = found.greedy([level], n_shards, True)[0]
+    ends = found.halved(sorted({*last, found.total}), n_shards)[:-1]
     at = sums.where(F.col("upto").isin(ends)).select("upto", "key").collect()
-    return high, [bytes(key) for _, key in sorted(map(tuple, at))]
+    return capacity, [bytes(key) for _, key in sorted(map(tuple, at))]
 
 
 def sharded(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:

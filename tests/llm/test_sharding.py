@@ -46,6 +46,22 @@ def test_smallest_capacity(spark, odd, which):
     assert all(len(shards) == 1 for shards in of_text.values())
 
 
+def test_a_third_in_one_group(spark):
+    """The other groups are spread over all other shards."""
+    sizes = [10] * 60 + [600] + [10] * 60
+    rows, upto = [], 0
+    for k, size in enumerate(sizes):
+        upto += size
+        rows.append((bytearray([k]), size, upto))
+    sums = spark.createDataFrame(rows, "key binary, size bigint, upto bigint")
+    capacity, cuts = sharding.minimax_cuts(sums)
+    of_shard = Counter()
+    for key, size, _ in rows:
+        of_shard[sum(bytes(key) > cut for cut in cuts)] += size
+    assert capacity == 600 and sorted(of_shard) == list(range(8))
+    assert sorted(of_shard.values())[-2:] == [200, 600]
+
+
 def test_few_groups_and_none(spark, none):
     assert sharding.sharded(none).collect() == []
     same = spark.createDataFrame([(k, "same") for k in range(40)], "doc_id bigint, text string")
