@@ -52,3 +52,41 @@ def materialized(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/factlake/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables in the shared folder that are dropped as soon as nothing reads them any more.
+
+    ``table`` is ``materialized`` with an owner; ``drop`` deletes tables whose readers have
+    been written. The last table, which the caller of a job reads, stays: Spark can't know
+    when its rows have been consumed.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark = spark
+        self._folder = f"{shared_folder(spark)}/factlake/{uuid.uuid4().hex}"
+        self._tables: list[tuple[DataFrame, str]] = []
+
+    def table(self, df: DataFrame) -> DataFrame:
+        path = f"{self._folder}/{len(self._tables)}"
+        df.write.parquet(path)
+        written = self._spark.read.schema(df.schema).parquet(path)
+        self._tables.append((written, path))
+        return written
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete these tables of this owner; a table that isn't its own is left alone."""
+        for df in tables:
+            for written, path in self._tables:
+                if written is df:
+                    _delete(self._spark, path)
+
+    def drop_all(self, *but: DataFrame) -> None:
+        """Delete every table of this owner except ``but``."""
+        self.drop(*[t for t, _ in self._tables if not any(t is b for b in but)])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Through Spark's own file systems, so that any store that it writes to will do."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
