@@ -9,6 +9,7 @@ from factlake.llm import (
     bpe,
     extraction,
     lines,
+    mining,
     packing,
     quality,
     repeats,
@@ -103,6 +104,12 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = mining.quantised(table(spark, sf_dir, "embeddings").withColumn("label", label))
+    return mining.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(
         table(spark, sf_dir, "documents"),
@@ -123,6 +130,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_simhash": op9_simhash,
     "op6_packing": op6_packing,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 ORACLES: dict[str, str] = {
     "op7_topk": """
@@ -142,4 +150,28 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
+    "op11_hard_negatives": """
+        WITH rows AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x,
+                   CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+                   list_inner_product(a.x, r.x)::BIGINT AS score
+            FROM rows a JOIN rows r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id
+        ), positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+            FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score,
+               score AS negative_score,
+               row_number() OVER (PARTITION BY p.anchor_id, positive_id
+                                  ORDER BY score DESC, vec_id)::INT AS rank
+        FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT same
+         AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        QUALIFY rank <= 5
+    """,
 }
