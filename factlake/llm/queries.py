@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factlake.llm import (
     bpe,
+    divergence,
     extraction,
     lines,
     mining,
@@ -17,6 +18,7 @@ from factlake.llm import (
     sharding,
     simhash,
     topk,
+    winnow,
 )
 from factlake.llm.common import sha256_hex, table
 
@@ -110,6 +112,24 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        sha256_hex(F.array_join("items", ",")).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(
         table(spark, sf_dir, "documents"),
@@ -131,6 +151,8 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op6_packing": op6_packing,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_decontamination": op12_decontamination,
+    "op13_divergence": op13_divergence,
 }
 ORACLES: dict[str, str] = {
     "op7_topk": """
@@ -174,4 +196,82 @@ ORACLES: dict[str, str] = {
          AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
         QUALIFY rank <= 5
     """,
+    "op12_decontamination": r"""
+        WITH item_words AS (
+            SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark WHERE text IS NOT NULL
+        ), spans AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS n,
+                   unnest([array_to_string(w[i : i + least(len(w), 10) - 1], ' ')
+                           for i in range(1, len(w) - least(len(w), 10) + 2)]) AS span
+            FROM item_words WHERE len(w) > 0
+        ), docs AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ), starts AS (
+            SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS i
+            FROM docs, (SELECT DISTINCT n FROM spans) WHERE len(w) >= n
+        ), hits AS (
+            SELECT r, i, s.n, item_id
+            FROM starts d JOIN spans s ON d.n = s.n AND s.span = array_to_string(w[i : i + d.n - 1], ' ')
+        ), covered AS (
+            SELECT r, count(DISTINCT at) AS n_hit
+            FROM (SELECT r, unnest(range(i, i + n)) AS at FROM hits) GROUP BY r
+        ), items AS (
+            SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+            FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM hits) GROUP BY r
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit,
+               coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
+    """,
+    "op13_divergence": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang,
+                   coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ), terms AS (
+            SELECT r, lang, source, unnest(w) AS term FROM docs
+        ), kept AS (
+            SELECT lang, term, count(*) AS n FROM terms
+            GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+        ), langs AS (
+            SELECT lang, sum(n) + count(*) AS total FROM kept GROUP BY lang
+        ), groups AS (
+            SELECT DISTINCT lang, source FROM docs
+        ), found AS (
+            SELECT lang, source, term, count(*) AS c FROM terms GROUP BY ALL
+        ), counts AS (
+            SELECT lang, source, term, k.n, coalesce(c, 0) AS c
+            FROM groups JOIN kept k USING (lang) LEFT JOIN found USING (lang, source, term)
+        ), shares AS (
+            SELECT lang, source, term, c,
+                   1 + 1000000000::HUGEINT * (c + 1)
+                       // sum(c + 1) OVER (PARTITION BY lang, source) AS p,
+                   1 + 1000000000::HUGEINT * (n + 1) // total AS q
+            FROM counts JOIN langs USING (lang)
+        ), pairs AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+            FROM shares a JOIN shares b
+              ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+            GROUP BY ALL
+        ), rows AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (p - q) * (p - q) // q
+            FROM shares WHERE c > 0 AND p > q
+        )
+        SELECT lang, source, part, item, value::BIGINT AS value,
+               row_number() OVER (PARTITION BY lang, source, part
+                                  ORDER BY value DESC, item)::INT AS rank
+        FROM rows QUALIFY part = 'pair' OR rank <= 200
+    """,
 }
