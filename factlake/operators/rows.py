@@ -17,3 +17,17 @@ def unnest(df: DataFrame, array: str, *keep: str, name: str = "item", position:
     else:
         out = df.select(*keep, F.explode_outer(array).alias(name))
     return out.where(F.col(name).isNotNull())
+
+
+def staged(df: DataFrame, *names: str) -> DataFrame:
+    """The same rows, with the columns ``names`` behind a stage boundary.
+
+    Catalyst writes the expression of a column into every place above that uses it, and
+    moves filters below the projection that makes it: over several steps that build on each
+    other the plan grows without end. It does neither across a generator, so each of
+    ``names`` is worked out once and is a plain column from here on. Nothing is written and
+    nothing is shuffled; it works on streams, too.
+    """
+    others = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    one = F.array(F.struct(*[F.col(f"`{c}`") for c in names]))
+    return df.select(*others, F.inline_outer(one))

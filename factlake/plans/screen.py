@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from factlake.functions import fixed_values as fv
 from factlake.functions.deobfuscate import deobfuscated
 from factlake.functions.pii import pii_spans, restored, scrubbed, vault_map, with_placeholders
+from factlake.operators.rows import staged
 from factlake.operators.screening import (
     injection_rules,
     result,
@@ -35,15 +36,20 @@ class ScreenOptions:
     injection_threshold: float = fv.RULE_THRESHOLD
 
 
+def _scored(df: DataFrame, check: str, rules: list, threshold: float) -> DataFrame:
+    df = with_score(staged(df, f"{check}_names"), check, rules, threshold)
+    return staged(df, f"{check}_flag", f"{check}_score")
+
+
 def _toxicity_columns(df: DataFrame, text: str, threshold: float) -> DataFrame:
     df = df.withColumn("toxicity_names", toxic_rules(F.col(text)))
-    return with_score(df, "toxicity", fv.TOXICITY_RULES, threshold)
+    return _scored(df, "toxicity", fv.TOXICITY_RULES, threshold)
 
 
 def _injection_columns(df: DataFrame, text: str, threshold: float) -> DataFrame:
-    df = df.withColumn("_plain", deobfuscated(F.col(text)))
+    df = staged(df.withColumn("_plain", deobfuscated(F.col(text))), "_plain")
     df = df.withColumn("injection_names", injection_rules(F.col(text), F.col("_plain")))
-    return with_score(df, "injection", fv.INJECTION_RULES, threshold).drop("_plain")
+    return _scored(df.drop("_plain"), "injection", fv.INJECTION_RULES, threshold)
 
 
 def detect_toxicity(df: DataFrame, text: str, threshold: float = fv.RULE_THRESHOLD) -> DataFrame:
@@ -58,12 +64,12 @@ def detect_injection(df: DataFrame, text: str, threshold: float = fv.RULE_THRESH
 
 def scrub_pii(df: DataFrame, text: str) -> DataFrame:
     """Add ``spans`` (with values and placeholders), ``sanitized`` and ``pii_mapping``."""
+    found = staged(df.withColumn("_spans", pii_spans(F.col(text))), "_spans")
+    named = found.withColumn("spans", with_placeholders(F.col("_spans"))).drop("_spans")
     return (
-        df.withColumn("_spans", pii_spans(F.col(text)))
-        .withColumn("spans", with_placeholders(F.col("_spans")))
+        staged(named, "spans")
         .withColumn("sanitized", scrubbed(F.col(text), F.col("spans")))
         .withColumn("pii_mapping", vault_map(F.col("spans")))
-        .drop("_spans")
     )
 
 
@@ -78,7 +84,7 @@ def screen(prompts: DataFrame, options: ScreenOptions = ScreenOptions()) -> Data
     else:
         df = without_score(df, "toxicity")
     # A toxic prompt is blocked at once: the later checks see nothing of it.
-    df = df.withColumn("_open", F.when(~F.col("toxicity_flag"), F.col("prompt")))
+    df = staged(df.withColumn("_open", F.when(~F.col("toxicity_flag"), F.col("prompt"))), "_open")
     if options.check_injection:
         df = _injection_columns(df, "_open", options.injection_threshold)
     else:
@@ -87,6 +93,7 @@ def screen(prompts: DataFrame, options: ScreenOptions = ScreenOptions()) -> Data
         "blocked", F.col("toxicity_flag") | F.coalesce("injection_flag", F.lit(False))
     )
     df = df.withColumn("_open", F.when(~F.col("blocked"), F.col("prompt")))
+    df = staged(df, "blocked", "_open")
     if options.redact:
         df = scrub_pii(df, "_open")
     else:
@@ -135,7 +142,8 @@ class Screening(NamedTuple):
     """``results`` and ``rejected`` together hold every prompt once.
 
     Original values are in ``vault`` only. The tables are plans of their own: nothing is
-    run or written down until the caller does, and no value reaches a scratch table.
+    run or written down until the caller does, and no value reaches a scratch table. Both may
+    be filtered and joined like any table: what they hold are plain columns.
     """
 
     results: DataFrame
@@ -151,7 +159,7 @@ def screen_prompts(prompts: DataFrame, options: ScreenOptions = ScreenOptions())
     checked = prompts.withColumn("problems", F.array_compact(F.array(problem)))
     valid, rejected = split(checked)
     done = screen(valid, options)
-    vault = done.where(F.size("pii_mapping") > 0).select("prompt_id", "pii_mapping")
+    vault = done.where("pii_count > 0").select("prompt_id", "pii_mapping")
     return Screening(done.drop("pii_mapping"), vault, rejected)
 
 

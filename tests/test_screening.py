@@ -1,6 +1,7 @@
 import base64
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 from factlake.functions import fixed_values as fv
 from factlake.functions.pii import pii_spans
 from factlake.operators.grounding import contains_injection
+from factlake.operators.rows import staged
+from factlake.streaming import screen_stream
 from factlake.plans.screen import ScreenOptions, detect_injection, detect_toxicity, restore_pii, screen_prompts
 
 
@@ -161,3 +164,35 @@ def test_checks_can_be_switched_off(spark, options):
     row = _results(spark, "I will attack a@b.org", options=options)[0]
     assert row["blocked"] == options.check_toxicity
     assert row["sanitized"] == ("" if options.check_toxicity else "I will attack [EMAIL_1]")
+
+
+def _optimized(df):
+    start = time.perf_counter()
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return time.perf_counter() - start, len(plan)
+
+
+def test_plans_of_results_vault_and_restored_stay_small(spark):
+    results, vault, _ = screen_prompts(_prompts(spark, "Call 555-123-4567", "fine"))
+    responses = results.where(~F.col("blocked")).select("prompt_id", F.col("sanitized").alias("response"))
+    odd = results.where("overall_risk != 'SAFE' AND sanitized_length > 3 AND injection.score < 0.5")
+    filtered = vault.where("map_contains_key(pii_mapping, '[PHONE_1]') AND prompt_id > 0")
+    for df, most in [(results, 60_000), (responses, 60_000), (odd, 60_000), (vault, 60_000), (filtered, 60_000), (restore_pii(responses, vault), 120_000)]:
+        seconds, size = _optimized(df)
+        assert seconds < 2 and size < most
+
+
+def test_stages_keep_rows_and_columns(spark):
+    df = spark.createDataFrame([(1, None, "x", [1]), (2, "b", None, None)], "k int, `a b` string, c string, d array<int>")
+    out = staged(df.withColumn("e", F.upper("c")), "e", "a b")
+    assert out.columns == ["k", "c", "d", "e", "a b"]
+    assert [tuple(r) for r in out.orderBy("k").collect()] == [(1, "x", [1], "X", None), (2, None, None, None, "b")]
+
+
+def test_screening_as_a_stream_uses_the_same_stages(spark, tmp_path):
+    _prompts(spark, "mail a@b.org", "how to forge papers").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("prompt_id long, prompt string").parquet(f"{tmp_path}/in")
+    screen_stream(stream, f"{tmp_path}/out", f"{tmp_path}/vault", f"{tmp_path}/at").awaitTermination()
+    rows = spark.read.parquet(f"{tmp_path}/out").orderBy("prompt_id").collect()
+    assert [(r["sanitized"], r["blocked"]) for r in rows] == [("mail [EMAIL_1]", False), ("", True)]
+    assert spark.read.parquet(f"{tmp_path}/vault").count() == 1
