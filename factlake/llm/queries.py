@@ -218,8 +218,8 @@ ORACLES: dict[str, str] = {
             SELECT r, i, s.n, item_id
             FROM starts d JOIN spans s ON d.n = s.n AND s.span = array_to_string(w[i : i + d.n - 1], ' ')
         ), covered AS (
-            SELECT r, count(DISTINCT at) AS n_hit
-            FROM (SELECT r, unnest(range(i, i + n)) AS at FROM hits) GROUP BY r
+            SELECT r, count(DISTINCT place) AS n_hit
+            FROM (SELECT r, unnest(range(i, i + n)) AS place FROM hits) GROUP BY r
         ), items AS (
             SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
             FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM hits) GROUP BY r
