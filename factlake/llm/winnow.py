@@ -20,6 +20,8 @@ that a passage in a third of all items is expanded once per document and not per
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factlake.llm.common import fresh
@@ -34,7 +36,10 @@ _LONGS = 1 << 14
 
 def words_of(text: Column) -> Column:
     """Words with A-Z in lower case; null has none."""
-    lower = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+    text = F.coalesce(text, F.lit(""))
+    # One byte per sign: plain ASCII, where lower() changes A-Z only and is much faster.
+    plain = F.octet_length(text) == F.length(text)
+    lower = F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
     return F.regexp_extract_all(lower, F.lit(_WORD), F.lit(0))
 
 
@@ -44,37 +49,35 @@ def gram_and_window(length: int) -> tuple[int, int]:
     return gram, length - gram + 1
 
 
-def _slices(values: Column, size: int) -> Column:
-    """All stretches of ``size`` neighbours, none if there are fewer."""
-    starts = F.sequence(F.lit(1), F.size(values) - (size - 1))
-    return F.when(
-        F.size(values) >= size, F.transform(starts, lambda s: F.slice(values, s, size))
-    ).otherwise(F.array())
-
-
-def _hashes(hashed_words: Column, length: int) -> Column:
-    """Hashes of all grams, for spans of ``length`` words."""
-    gram, _ = gram_and_window(length)
-    return F.transform(_slices(hashed_words, gram), lambda g: F.xxhash64(F.lit(length), g))
-
+def _over_neighbours(
+    df: DataFrame, column: str, size: int, combine: Callable[[Column, Column], Column]
+) -> DataFrame:
+    """``column`` becomes, at every place, a combination of ``size`` neighbours.
 
-def _least(gram_hashes: Column, length: int) -> Column:
-    """The fingerprint of the span at every place, in order."""
-    _, window = gram_and_window(length)
-    return F.transform(_slices(gram_hashes, window), F.array_min)
+    By doubling: stretches of 2, 4, 8... and then two that overlap. Each step is a column:
+    within one expression it would be worked out at every use.
+    """
+    have = 1
+    while have < size:
+        shift = min(have, size - have)
+        left = F.greatest(F.size(column) - shift, F.lit(0))
+        both = F.slice(column, 1, left), F.slice(column, 1 + shift, left)
+        df = df.withColumn(column, F.zip_with(*both, combine))
+        have += shift
+    return df
 
 
 def with_fingerprints(df: DataFrame, lengths: list[int]) -> DataFrame:
-    """``df`` (words) with prints{length}: the fingerprint of every span, in order.
-
-    Each step is a column: within one expression it would be worked out at every use.
-    """
-    hashed, grams = fresh("hashed"), fresh("grams")
+    """``df`` (words) with prints{length}: the fingerprint of every span, in order."""
+    hashed = fresh("hashed")
     df = df.withColumn(hashed, F.transform("words", lambda w: F.xxhash64(w)))
     for length in lengths:
-        df = df.withColumn(grams, _hashes(F.col(hashed), length))
-        df = df.withColumn(f"prints{length}", _least(F.col(grams), length))
-    return df.drop(hashed, grams)
+        gram, window = gram_and_window(length)
+        prints = f"prints{length}"
+        df = df.withColumn(prints, F.col(hashed))
+        df = _over_neighbours(df, prints, gram, lambda a, b: F.xxhash64(a, b))
+        df = _over_neighbours(df, prints, window, lambda a, b: F.least(a, b))
+    return df.drop(hashed)
 
 
 def _span_at(start: Column, length: int) -> Column:
@@ -99,15 +102,12 @@ def item_spans(items: DataFrame, span: int = SPAN) -> DataFrame:
 
 def _bit_table(prints: DataFrame) -> Column:
     """An array of 2^14 longs: the bits that any fingerprint sets, as one value."""
-    place, bit = F.expr(f"pmod(print, {_LONGS})"), F.expr("shiftleft(1L, CAST(shiftrightunsigned(print, 58) AS INT))")
-    words = prints.select(place.alias("place"), bit.alias("bit")).groupBy("place")
-    words = words.agg(F.bit_or("bit").alias("bits"))
-    sparse = words.agg(F.map_from_entries(F.collect_list(F.struct("place", "bits"))).alias("m"))
-    every = F.transform(
-        F.expr(f"sequence(0L, {_LONGS - 1}L)"),
-        lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("bigint")),
-    )
-    return sparse.select(every).scalar()
+    place = F.pmod("print", F.lit(_LONGS)).alias("place")
+    bit = F.expr("shiftleft(1L, CAST(shiftrightunsigned(print, 58) AS INT))").alias("bit")
+    none = prints.sparkSession.range(_LONGS).select("id", F.lit(0).cast("bigint"))
+    words = prints.select(place, bit).unionAll(none).groupBy("place").agg(F.bit_or("bit").alias("bits"))
+    every = F.sort_array(F.collect_list(F.struct("place", "bits"))).alias("every")
+    return words.agg(every).select(F.transform("every", lambda w: w["bits"])).scalar()
 
 
 def _let_through(prints: Column, table: Column) -> Column:
@@ -117,7 +117,7 @@ def _let_through(prints: Column, table: Column) -> Column:
         word = F.get(table, F.pmod(p, F.lit(_LONGS)).cast("int"))
         return F.getbit(word, F.shiftrightunsigned(p, 58).cast("int")) == 1
 
-    return F.array_distinct(F.filter(prints, is_set))
+    return F.filter(F.array_distinct(prints), is_set)
 
 
 def _covered(spans: Column) -> Column:
