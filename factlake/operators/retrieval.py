@@ -2,15 +2,24 @@
 
 A claim's score for an entry needs one shared token, so the plain plan joins the two
 tables on token.  Tokens that are frequent on both sides would then emit every pair
-of their groups.  Instead the tokens are split by their number of entries:
+of their groups.  Here a claim is joined with lists of bounded length instead.  A token held
+by at most ``hot_df`` entries is *rare*, any other *hot*:
 
-* A token held by few entries (``rare``) is joined as it is: at most ``hot_df``
-  candidates per claim token, whatever the claim side looks like.
-* For frequent (``hot``) tokens, entries with the same set of hot tokens score alike
-  for every claim but for their credibility, so of each such set (a *profile*) only the
-  first k of every credibility can matter, and of the credibilities those that rounding
-  could make equal to the k-th best.  A claim reaches profiles only through those hot tokens
-  without which no entry could reach the claim's k-th best score so far.
+* A rare token has the list of all its entries.
+* A hot token has its *champions*: of entries that share just this token with a claim only
+  the first k by credibility can matter (and those that rounding could make equal).
+* Two hot tokens in one entry are a pair with a list of its own: all its entries if there are
+  at most ``hot_df``, its champions otherwise (a *hot pair*).
+
+So an entry outside the lists shares at least three hot tokens with the claim, all of whose
+pairs are hot.  Entries with three or more hot pairs, collapsed to one row for each distinct
+set of hot tokens, are searched last, and only through hot pairs that could still lift an
+entry above the claim's k-th best score so far.  Entries with so many hot tokens
+that their pairs would grow out of hand (``long_entry``) have no pairs; they are searched last,
+too, by those hot tokens without which no entry could reach that score.
+
+An index consists of segments, each with lists of its own over its own entries; token weights
+come from all of them.  Adding entries adds a segment, compaction makes one of all.
 
 Scores are sums of token weights in units of 1e-12 as integers, so they do not
 depend on the order in which rows arrive.
@@ -18,19 +27,24 @@ depend on the order in which rows arrive.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from factlake.functions import fixed_values as fv
 from factlake.functions.numbers import exact_round
 from factlake.functions.text import raw_tokens
 from factlake.operators.rows import unnest
-from factlake.session import materialized
+from factlake.session import bucketed_table, materialized, write_bucketed
 
 CLAIM_KEY = ["answer_id", "claim_index"]
-HOT_DF = 256
-_TABLES = ("entries", "stats", "rare", "marks", "profiles")
+HOT_DF = 64
+LONG_ENTRY = 48
+#: Files of a saved list table; its rows with one token lie in one of them.
+BUCKETS = 64
 _UNIT = 1e12
 # Half a unit of the fourth decimal and a margin for the double arithmetic.
 _ROUNDING = 6e-5
@@ -42,15 +56,137 @@ def _weight(idf: Column) -> Column:
     return F.round(idf * F.lit(_UNIT)).cast("long")
 
 
+def _weighted(counts: DataFrame, entries: int) -> DataFrame:
+    """token, df, weight of ``counts`` (token, df) over so many entries."""
+    idf = F.log(F.lit(float(entries)) / (F.col("df") + 1)) + 1.0
+    return counts.select("token", "df", _weight(idf).alias("weight"))
+
+
+def _keyword_counts(kb: DataFrame) -> DataFrame:
+    return unnest(kb, "keywords", name="token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
 def kb_idf(kb: DataFrame) -> DataFrame:
     """``token, df, idf`` with ``idf = ln(entries / (df + 1)) + 1``."""
     entries = kb.agg(F.count(F.lit(1)).cast("double")).scalar()
-    return (
-        unnest(kb, "keywords", name="token")
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .withColumn("idf", F.log(entries / (F.col("df") + 1)) + 1.0)
+    idf = F.log(entries / (F.col("df") + 1)) + 1.0
+    return _keyword_counts(kb).withColumn("idf", idf)
+
+
+def _champions(rows: DataFrame, *key: str, k: int) -> DataFrame:
+    """Of each key's rows (key, credibility, kb_id) those that can be among its best k.
+
+    The first k of every credibility, down to the credibility that rounding could make equal
+    to that of the k-th best.
+    """
+    alike = Window.partitionBy(*key, "credibility").orderBy("kb_id")
+    best = Window.partitionBy(*key).orderBy(F.desc("credibility"), "kb_id")
+    place = F.col("_place")
+    first = rows.withColumn("_place", F.row_number().over(alike)).where(place <= k).drop("_place")
+    lowest = F.when(F.count(F.lit(1)) >= k, F.min("credibility")).alias("_kth")
+    kth = (
+        first.withColumn("_place", F.row_number().over(best))
+        .where(place <= k)
+        .groupBy(*key)
+        .agg(lowest)
     )
+    matters = F.col("_kth").isNull() | (F.col("credibility") >= F.col("_kth") - _TIE)
+    return first.join(kth, list(key)).where(matters).drop("_kth")
+
+
+def _pairs(tokens: str) -> Column:
+    """All pairs of a sorted array's tokens as (token, other)."""
+
+    def with_later(token: Column, i: Column) -> Column:
+        later = F.slice(tokens, i + 2, F.size(tokens))
+        return F.transform(
+            later, lambda other: F.struct(token.alias("token"), other.alias("other"))
+        )
+
+    return F.flatten(F.transform(tokens, with_later))
+
+
+_KEY = ("token", "other")
+
+
+@dataclass(frozen=True)
+class Segment:
+    """Some entries, prepared for retrieval; rare and hot are meant within the segment."""
+
+    local: DataFrame  # token, df
+    marks: DataFrame  # kb_id, credibility, hot (sorted array of hot tokens or null)
+    lists: DataFrame  # token, other, kb_id: rare tokens, champions (other is '' for one token)
+    pairs: DataFrame  # token, other, kb_id: every pair
+    hot_pairs: DataFrame  # token, other
+    profiles: DataFrame  # token, other ('' for long entries), hot, champions
+
+    TABLES = {
+        "local": ("token",), "marks": (), "lists": _KEY, "pairs": _KEY, "hot_pairs": _KEY, "profiles": _KEY
+    }
+
+    @classmethod
+    def build(cls, kb: DataFrame, k: int, hot_df: int, long_entry: int) -> Segment:
+        credibility = F.coalesce("source_credibility", F.lit(fv.DEFAULT_CREDIBILITY))
+        postings = materialized(
+            unnest(
+                kb.select("kb_id", F.array_distinct("keywords").alias("tokens")),
+                "tokens",
+                "kb_id",
+                name="token",
+            ).select("token", "kb_id")
+        )
+        local = materialized(postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+        hot_tokens = local.where(F.col("df") > hot_df).select("token")
+        hot_sets = (
+            postings.join(hot_tokens, "token", "left_semi")
+            .groupBy("kb_id")
+            .agg(F.sort_array(F.collect_list("token")).alias("hot"))
+        )
+        marks = materialized(
+            kb.select("kb_id", credibility.alias("credibility")).join(hot_sets, "kb_id", "left")
+        )
+        held = ("kb_id", "credibility")
+        alone = F.lit("").alias("other")
+        n_hot = F.size(F.coalesce("hot", F.array()))
+        short = marks.where(n_hot.between(2, long_entry))
+        pairs = unnest(short.select(*held, _pairs("hot").alias("pairs")), "pairs", *held)
+        pairs = materialized(pairs.select("item.*", *held))
+        hot_pairs = materialized(
+            pairs.groupBy(*_KEY).count().where(F.col("count") > hot_df).select(*_KEY)
+        )
+        of_hot_tokens = unnest(marks, "hot", *held, name="token").select("token", alone, *held)
+        keyed = [
+            postings.join(local.where(F.col("df") <= hot_df).select("token"), "token")
+            .select("token", alone, "kb_id"),
+            _champions(of_hot_tokens, *_KEY, k=k),
+            _champions(pairs.join(hot_pairs, list(_KEY), "left_semi"), *_KEY, k=k),
+        ]
+        lists = reduce(DataFrame.unionAll, [part.select(*_KEY, "kb_id") for part in keyed])
+
+        # Sets with a hot pair, by each of them if there are three; long ones by each token.
+        in_hot_pairs = pairs.join(hot_pairs, list(_KEY), "left_semi").groupBy("kb_id")
+        several = in_hot_pairs.agg(F.collect_list(F.struct(*_KEY)).alias("keys"))
+        several = several.where(F.size("keys") >= 3)
+        tokens = F.transform("hot", lambda t: F.struct(t.alias("token"), alone))
+        searched = (
+            marks.join(several, "kb_id")
+            .unionByName(marks.where(n_hot > long_entry).withColumn("keys", tokens))
+        )
+        sets = (
+            _champions(searched.select("hot", *held), "hot", k=k)
+            .groupBy("hot")
+            .agg(F.collect_list(F.struct("credibility", "kb_id")).alias("champions"))
+        )
+        keys = searched.groupBy("hot").agg(F.first("keys").alias("keys"))
+        profiles = unnest(sets.join(keys, "hot"), "keys", "hot", "champions")
+        return cls(
+            local=local,
+            marks=marks,
+            lists=materialized(lists),
+            pairs=pairs.select(*_KEY, "kb_id"),
+            hot_pairs=hot_pairs,
+            profiles=materialized(profiles.select("item.*", "hot", "champions")),
+        )
 
 
 @dataclass(frozen=True)
@@ -59,82 +195,105 @@ class KnowledgeIndex:
 
     All tables but the entries are written to the shared folder once, so that no batch,
     round or stream goes through the knowledge base again; ``save`` keeps an index for
-    other sessions.
+    other sessions, with the rows of a token in one file so that a join shuffles the claims
+    only.
     """
 
     entries: DataFrame  # the knowledge base itself
     stats: DataFrame  # token, df, weight
-    rare: DataFrame  # token, kb_id
-    marks: DataFrame  # kb_id, credibility, hot (sorted array of hot tokens)
-    profiles: DataFrame  # token, hot, champions
+    size: int
+    segments: tuple[Segment, ...]
     hot_df: int
     k: int
+    long_entry: int
 
     @classmethod
     def build(
-        cls, kb: DataFrame, k: int = fv.EVIDENCE_PER_CLAIM, hot_df: int = HOT_DF
+        cls,
+        kb: DataFrame,
+        k: int = fv.EVIDENCE_PER_CLAIM,
+        hot_df: int = HOT_DF,
+        long_entry: int = LONG_ENTRY,
     ) -> KnowledgeIndex:
-        stats = materialized(
-            kb_idf(kb).select("token", "df", _weight(F.col("idf")).alias("weight"))
-        )
-        credibility = F.coalesce("source_credibility", F.lit(fv.DEFAULT_CREDIBILITY))
-        postings = unnest(
-            kb.select("kb_id", F.array_distinct("keywords").alias("tokens")),
-            "tokens",
-            "kb_id",
-            name="token",
-        )
-        hot_postings = postings.join(
-            stats.where(F.col("df") > hot_df).select("token"), "token", "left_semi"
-        )
-        hot_sets = hot_postings.groupBy("kb_id").agg(
-            F.sort_array(F.collect_list("token")).alias("hot")
-        )
-        marks = materialized(
-            kb.select("kb_id", credibility.alias("credibility")).join(hot_sets, "kb_id", "left")
-        )
-        alike = Window.partitionBy("hot", "credibility").orderBy("kb_id")
-        best = Window.partitionBy("hot").orderBy(F.desc("credibility"), "kb_id")
-        kth = F.min(F.when(F.col("place") == k, F.col("credibility"))).over(
-            Window.partitionBy("hot")
-        )
-        profiles = (
-            marks.where(F.col("hot").isNotNull())
-            .withColumn("place", F.row_number().over(alike))
-            .where(F.col("place") <= k)
-            .withColumn("place", F.row_number().over(best))
-            .withColumn("kth", kth)
-            .where(F.col("kth").isNull() | (F.col("credibility") >= F.col("kth") - _TIE))
-            .groupBy("hot")
-            .agg(F.collect_list(F.struct("credibility", "kb_id")).alias("champions"))
-        )
+        """``hot_df`` bounds the length of a list, ``long_entry`` the pairs of an entry."""
+        size = kb.count()
+        counts = materialized(_keyword_counts(kb))
         return cls(
             entries=kb,
-            stats=stats,
-            rare=materialized(
-                postings.join(stats.where(F.col("df") <= hot_df).select("token"), "token")
-            ),
-            marks=marks,
-            profiles=materialized(unnest(profiles, "hot", "hot", "champions", name="token")),
+            stats=_weighted(counts, size),
+            size=size,
+            segments=(Segment.build(kb, k, hot_df, long_entry),),
             hot_df=hot_df,
             k=k,
+            long_entry=long_entry,
+        )
+
+    def add(self, kb: DataFrame) -> KnowledgeIndex:
+        """This index with more entries, whose ids must be new.
+
+        Only the new entries are gone through; the weights follow. An index retrieves the
+        same, whether its entries were built at once or added.
+        """
+        size = self.size + kb.count()
+        both = self.stats.select("token", "df").unionAll(_keyword_counts(kb))
+        counts = materialized(both.groupBy("token").agg(F.sum("df").alias("df")))
+        more = Segment.build(kb, self.k, self.hot_df, self.long_entry)
+        return replace(
+            self,
+            entries=self.entries.unionByName(kb.select(*self.entries.columns)),
+            stats=_weighted(counts, size),
+            size=size,
+            segments=(*self.segments, more),
         )
 
-    def save(self, path: str) -> None:
+    def compact(self) -> KnowledgeIndex:
+        """The same index with one segment, which retrieves faster than many."""
+        return KnowledgeIndex.build(self.entries, self.k, self.hot_df, self.long_entry)
+
+    def save(self, path: str, buckets: int = BUCKETS) -> None:
         """Write the index below ``path``; the folder must be new."""
-        for name in _TABLES:
-            getattr(self, name).write.parquet(f"{path}/{name}")
-        limits = self.stats.sparkSession.createDataFrame(
-            [(self.hot_df, self.k)], "hot_df long, k long"
+        self.entries.write.parquet(f"{path}/entries")
+        tables = {"stats": (self.stats, ("token",))}
+        for i, segment in enumerate(self.segments):
+            for name, by in Segment.TABLES.items():
+                tables[f"segment-{i}/{name}"] = getattr(segment, name), by
+        for where, (df, by) in tables.items():
+            if by:
+                write_bucketed(df, f"{path}/{where}", buckets, *by)
+            else:
+                df.write.parquet(f"{path}/{where}")
+        schemas = {where: df.schema.json() for where, (df, _) in tables.items()}
+        limits = (self.hot_df, self.k, self.long_entry, self.size, len(self.segments), buckets, schemas)
+        names = (
+            "hot_df long, k long, long_entry long, size long, segments long, buckets long, "
+            "schemas map<string,string>"
         )
-        limits.write.parquet(f"{path}/limits")
+        self.stats.sparkSession.createDataFrame([limits], names).write.parquet(f"{path}/limits")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> KnowledgeIndex:
         """An index that ``save`` has written."""
         limits = spark.read.parquet(f"{path}/limits").first()
-        tables = {name: spark.read.parquet(f"{path}/{name}") for name in _TABLES}
-        return cls(**tables, hot_df=limits["hot_df"], k=limits["k"])
+
+        def read(where: str, by: tuple[str, ...]) -> DataFrame:
+            schema = StructType.fromJson(json.loads(limits["schemas"][where]))
+            if by:
+                return bucketed_table(spark, f"{path}/{where}", schema, limits["buckets"], *by)
+            return spark.read.schema(schema).parquet(f"{path}/{where}")
+
+        segments = [
+            Segment(**{n: read(f"segment-{i}/{n}", by) for n, by in Segment.TABLES.items()})
+            for i in range(limits["segments"])
+        ]
+        return cls(
+            entries=spark.read.parquet(f"{path}/entries"),
+            stats=read("stats", ("token",)),
+            size=limits["size"],
+            segments=tuple(segments),
+            hot_df=limits["hot_df"],
+            k=limits["k"],
+            long_entry=limits["long_entry"],
+        )
 
 
 def query_text(claim: Column, sources: Column) -> Column:
@@ -160,12 +319,8 @@ def _best(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("kb_rank", F.row_number().over(order)).where(F.col("kb_rank") <= k)
 
 
-def score_entries(claims: DataFrame, index: KnowledgeIndex) -> DataFrame:
-    """``answer_id, claim_index, kb_id, relevance_score, kb_rank`` of the best k entries.
-
-    ``claims`` has ``text`` and may have ``trusted_sources``.
-    """
-    k = index.k
+def claim_tokens(claims: DataFrame, index: KnowledgeIndex) -> DataFrame:
+    """``answer_id, claim_index, token, weight`` of every token looked for."""
     sources = (
         F.col("trusted_sources")
         if "trusted_sources" in claims.columns
@@ -179,43 +334,71 @@ def score_entries(claims: DataFrame, index: KnowledgeIndex) -> DataFrame:
         *CLAIM_KEY,
         name="token",
     )
-    weighed = tokens.join(index.stats, "token", "left").withColumn(
-        "weight", F.coalesce("weight", _weight(F.lit(fv.UNKNOWN_TOKEN_IDF)))
-    )
-    is_hot = F.col("df") > index.hot_df
-    per_claim = weighed.groupBy(*CLAIM_KEY).agg(
-        F.sum("weight").alias("total"),
-        # Lightest (most frequent) first.
-        F.sort_array(
-            F.collect_list(F.when(is_hot, F.struct("weight", "token")))
-        ).alias("hot"),
-    )
+    weight = F.coalesce("weight", _weight(F.lit(fv.UNKNOWN_TOKEN_IDF))).alias("weight")
+    return tokens.join(index.stats, "token", "left").select(*CLAIM_KEY, "token", weight)
+
+
+def _placed(tokens: DataFrame, segment: Segment) -> DataFrame:
+    """The tokens that the segment knows, with their ``df`` there."""
+    return tokens.join(segment.local, "token")
+
+
+def _hot_of_claims(placed: DataFrame, hot_df: int) -> DataFrame:
+    """Each claim's hot tokens, lightest (most frequent) first, and their names sorted."""
+    hot = F.sort_array(F.collect_list(F.struct("weight", "token"))).alias("hot")
+    found = placed.where(F.col("df") > hot_df).groupBy(*CLAIM_KEY).agg(hot)
+    return found.withColumn("names", F.array_sort(F.transform("hot", lambda t: t["token"])))
 
-    from_rare = (
-        weighed.where(F.col("df") <= index.hot_df)
-        .join(index.rare, "token")
+
+def candidates(placed: DataFrame, segment: Segment, hot_df: int) -> DataFrame:
+    """``answer_id, claim_index, kb_id, rare_weight`` of the entries in a claim's lists.
+
+    A list of a rare token or pair has at most ``hot_df`` rows, one of a hot token or pair k
+    for each credibility that matters; so a claim of r rare and h hot tokens has at most
+    (r + h * h) * max(hot_df, champions) candidates, however large the knowledge base.
+    """
+    rare = F.when(F.col("df") <= hot_df, F.col("weight")).otherwise(F.lit(0).cast("long"))
+    one = placed.select(*CLAIM_KEY, "token", F.lit("").alias("other"), rare.alias("rare_weight"))
+    several = _hot_of_claims(placed, hot_df).where(F.size("names") >= 2)
+    two = unnest(several.select(*CLAIM_KEY, _pairs("names").alias("pairs")), "pairs", *CLAIM_KEY)
+    two = two.select(*CLAIM_KEY, "item.*", F.lit(0).cast("long").alias("rare_weight"))
+    # A hot pair's champions are in the lists, of any other pair all entries are in its own.
+    hot = segment.hot_pairs.withColumn("is_hot", F.lit(True))
+    two = two.join(hot, list(_KEY), "left")
+    listed = one.unionByName(two.where("is_hot").drop("is_hot")).join(segment.lists, list(_KEY))
+    paired = two.where("is_hot IS NULL").drop("is_hot").join(segment.pairs, list(_KEY))
+    return (
+        listed.unionByName(paired)
         .groupBy(*CLAIM_KEY, "kb_id")
-        .agg(F.sum("weight").alias("rare_weight"))
-        .join(index.marks, "kb_id")
-        .withColumnRenamed("hot", "entry_hot")
-        .join(per_claim, CLAIM_KEY)
-        .withColumn(
-            "weight",
-            F.col("rare_weight")
-            + F.when(
-                F.col("entry_hot").isNotNull() & (F.size("hot") > 0),
-                _shared_weight(F.col("hot"), F.col("entry_hot")),
-            ).otherwise(F.lit(0)),
-        )
+        .agg(F.sum("rare_weight").alias("rare_weight"))
+    )
+
+
+def _scored_candidates(
+    tokens: DataFrame, totals: DataFrame, segment: Segment, hot_df: int
+) -> DataFrame:
+    placed = _placed(tokens, segment)
+    of_claim = totals.join(_hot_of_claims(placed, hot_df), CLAIM_KEY, "left")
+    hot_weight = F.when(
+        F.col("entry_hot").isNotNull() & F.col("hot").isNotNull(),
+        _shared_weight(F.col("hot"), F.col("entry_hot")),
+    ).otherwise(F.lit(0))
+    return (
+        candidates(placed, segment, hot_df)
+        .join(segment.marks.withColumnRenamed("hot", "entry_hot"), "kb_id")
+        .join(of_claim, CLAIM_KEY)
+        .withColumn("weight", F.col("rare_weight") + hot_weight)
         .withColumn("score", _score(F.col("weight"), F.col("total"), F.col("credibility")))
         .select(*CLAIM_KEY, "kb_id", exact_round(F.col("score"), 4).alias("relevance_score"))
     )
-    first_pass = _best(from_rare, k).drop("kb_rank")
 
-    reached = first_pass.groupBy(*CLAIM_KEY).agg(
-        F.when(F.count(F.lit(1)) >= k, F.min("relevance_score")).alias("floor")
-    )
-    ceiling = index.marks.agg(F.max("credibility")).scalar()
+
+def _beyond_lists(
+    tokens: DataFrame, totals: DataFrame, floors: DataFrame, segment: Segment, hot_df: int
+) -> DataFrame:
+    """Scores of entries that no list holds and that could still reach the claim's floor."""
+    placed = _placed(tokens, segment)
+    ceiling = segment.marks.agg(F.max("credibility")).scalar()
 
     def still_needed(position: Column) -> Column:
         lighter = F.aggregate(
@@ -226,43 +409,67 @@ def score_entries(claims: DataFrame, index: KnowledgeIndex) -> DataFrame:
             | (_score(lighter, F.col("total"), F.col("ceiling")) + _ROUNDING >= F.col("floor"))
         )
 
+    needed = F.transform(F.filter("hot", lambda t, i: still_needed(i)), lambda t: t["token"])
     essential = (
-        per_claim.where(F.size("hot") > 0)
-        .join(reached, CLAIM_KEY, "left")
+        _hot_of_claims(placed, hot_df)
+        .join(totals, CLAIM_KEY)
+        .join(floors, CLAIM_KEY, "left")
         .withColumn("ceiling", ceiling)
-        .withColumn(
-            "needed",
-            F.transform(
-                F.filter("hot", lambda t, i: still_needed(i)), lambda t: t["token"]
-            ),
-        )
+        .withColumn("needed", needed)
+        .where(F.size("needed") > 0)
     )
-    from_hot = (
-        unnest(essential, "needed", *CLAIM_KEY, "total", "hot", "floor", "needed", name="token")
-        .join(index.profiles.withColumnRenamed("hot", "entry_hot"), "token")
-        # A profile reached through several needed tokens counts once.
-        .where(
-            F.col("token")
-            == F.element_at(
-                F.filter("needed", lambda t: F.array_contains("entry_hot", t)), 1
-            )
+    claim = [*CLAIM_KEY, "total", "hot", "floor"]
+    # A set reached through several tokens or pairs counts once: by the first.
+    by_token = unnest(essential, "needed", *claim, "needed", name="token").select(
+        *claim,
+        "token",
+        F.lit("").alias("other"),
+        F.transform("needed", lambda t: F.struct(t.alias("token"), F.lit("").alias("other"))).alias("keys"),
+    )
+    several = essential.where(F.size("names") >= 3)
+    hot_only = (
+        unnest(several.select(*CLAIM_KEY, _pairs("names").alias("pairs")), "pairs", *CLAIM_KEY)
+        .select(*CLAIM_KEY, "item.*")
+        .join(segment.hot_pairs, list(_KEY), "left_semi")
+    )
+    pairs = F.sort_array(F.collect_list(F.struct(*_KEY))).alias("pairs")
+    of_pairs = essential.join(
+        hot_only.groupBy(*CLAIM_KEY).agg(pairs).where(F.size("pairs") >= 3), CLAIM_KEY
+    )
+
+    def together(token: Column, other: Column) -> Column:
+        pair = F.struct(F.least(token, other).alias("token"), F.greatest(token, other).alias("other"))
+        return (token == other) | F.array_contains("pairs", pair)
+
+    def worth_it(p: Column) -> Column:
+        """An entry beyond the lists shares only hot pairs: with this pair at most the tokens
+        that make hot pairs with both of its tokens, of which there must be one more."""
+        shared = F.filter(
+            "hot", lambda t: together(t["token"], p["token"]) & together(t["token"], p["other"])
         )
+        reach = F.aggregate(shared, F.lit(0).cast("long"), lambda a, t: a + t["weight"])
+        possible = _score(reach, F.col("total"), F.col("ceiling")) + _ROUNDING
+        enough = F.col("floor").isNull() | (possible >= F.col("floor"))
+        is_needed = F.array_contains("needed", p["token"]) | F.array_contains("needed", p["other"])
+        return is_needed & (F.size(shared) >= 3) & enough
+
+    of_pairs = of_pairs.withColumn("keys", F.filter("pairs", worth_it))
+    by_pair = unnest(of_pairs, "keys", *claim, "keys").select(*claim, "item.*", "keys")
+
+    def in_entry(key: Column) -> Column:
+        inside = F.array_contains("entry_hot", key["token"])
+        return inside & ((key["other"] == "") | F.array_contains("entry_hot", key["other"]))
+
+    reached = (
+        by_token.unionByName(by_pair)
+        .join(segment.profiles.withColumnRenamed("hot", "entry_hot"), list(_KEY))
+        .where(F.struct(*_KEY) == F.element_at(F.filter("keys", in_entry), 1))
         .withColumn("weight", _shared_weight(F.col("hot"), F.col("entry_hot")))
-        .where(
-            F.col("floor").isNull()
-            | (
-                _score(
-                    F.col("weight"),
-                    F.col("total"),
-                    F.array_max("champions")["credibility"],
-                )
-                + _ROUNDING
-                >= F.col("floor")
-            )
-        )
     )
-    from_hot = (
-        unnest(from_hot, "champions", *CLAIM_KEY, "weight", "total")
+    most = _score(F.col("weight"), F.col("total"), F.array_max("champions")["credibility"])
+    reached = reached.where(F.col("floor").isNull() | (most + _ROUNDING >= F.col("floor")))
+    return (
+        unnest(reached, "champions", *CLAIM_KEY, "weight", "total")
         .withColumn("score", _score(F.col("weight"), F.col("total"), F.col("item.credibility")))
         .select(
             *CLAIM_KEY,
@@ -270,8 +477,31 @@ def score_entries(claims: DataFrame, index: KnowledgeIndex) -> DataFrame:
             exact_round(F.col("score"), 4).alias("relevance_score"),
         )
     )
+
+
+def score_entries(claims: DataFrame, index: KnowledgeIndex) -> DataFrame:
+    """``answer_id, claim_index, kb_id, relevance_score, kb_rank`` of the best k entries.
+
+    ``claims`` has ``text`` and may have ``trusted_sources``.
+    """
+    k, hot_df = index.k, index.hot_df
+    tokens = materialized(claim_tokens(claims, index))
+    totals = tokens.groupBy(*CLAIM_KEY).agg(F.sum("weight").alias("total"))
+    union = DataFrame.unionByName
+    first = reduce(
+        union, [_scored_candidates(tokens, totals, s, hot_df) for s in index.segments]
+    )
+    first = materialized(_best(first, k))
+    beyond = [s for s in index.segments if not s.profiles.isEmpty()]
+    if not beyond:
+        return first
+    floors = first.groupBy(*CLAIM_KEY).agg(
+        F.when(F.count(F.lit(1)) >= k, F.min("relevance_score")).alias("floor")
+    )
+    rest = reduce(union, [_beyond_lists(tokens, totals, floors, s, hot_df) for s in beyond])
     merged = (
-        first_pass.unionByName(from_hot)
+        first.drop("kb_rank")
+        .unionByName(rest)
         .groupBy(*CLAIM_KEY, "kb_id")
         .agg(F.max("relevance_score").alias("relevance_score"))
     )

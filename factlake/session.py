@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -54,6 +55,28 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_bucketed(df: DataFrame, path: str, buckets: int, *by: str) -> None:
+    """``df`` below ``path``, the rows of equal ``by`` in one of so many files."""
+    name = f"factlake_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by)
+    writer.option("path", path).format("parquet").saveAsTable(name)
+    # The files stay: a table with a path of its own is only known to the catalog.
+    df.sparkSession.sql(f"DROP TABLE {name}")
+
+
+def bucketed_table(
+    spark: SparkSession, path: str, schema: StructType, buckets: int, *by: str
+) -> DataFrame:
+    """What ``write_bucketed`` has written; joins and groupings on ``by`` don't shuffle it."""
+    name = f"factlake_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({schema.toDDL()}) USING parquet "
+        f"CLUSTERED BY ({', '.join(by)}) SORTED BY ({', '.join(by)}) INTO {buckets} BUCKETS "
+        f"LOCATION '{path}'"
+    )
+    return spark.table(name)
+
+
 class Scratch:
     """Tables in the shared folder that are dropped as soon as nothing reads them any more.
 
@@ -65,25 +88,41 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self._spark = spark
         self._folder = f"{shared_folder(spark)}/factlake/{uuid.uuid4().hex}"
-        self._tables: list[tuple[DataFrame, str]] = []
+        self._tables: list[tuple[DataFrame, str, str | None]] = []
 
     def table(self, df: DataFrame) -> DataFrame:
         path = f"{self._folder}/{len(self._tables)}"
         df.write.parquet(path)
         written = self._spark.read.schema(df.schema).parquet(path)
-        self._tables.append((written, path))
+        self._tables.append((written, path, None))
+        return written
+
+    def bucketed(self, df: DataFrame, *by: str) -> DataFrame:
+        """``table`` with the rows of equal ``by`` in one file: joins on it don't move them.
+
+        One file per shuffle partition, which is how a grouping by ``by`` has its rows anyway.
+        """
+        path = f"{self._folder}/{len(self._tables)}"
+        number = int(self._spark.conf.get("spark.sql.shuffle.partitions"))
+        name = f"factlake_{uuid.uuid4().hex}"
+        writer = df.write.bucketBy(number, *by).sortBy(*by).format("parquet")
+        writer.option("path", path).saveAsTable(name)
+        written = self._spark.table(name)
+        self._tables.append((written, path, name))
         return written
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete these tables of this owner; a table that isn't its own is left alone."""
         for df in tables:
-            for written, path in self._tables:
+            for written, path, name in self._tables:
                 if written is df:
+                    if name:
+                        self._spark.sql(f"DROP TABLE IF EXISTS {name}")
                     _delete(self._spark, path)
 
     def drop_all(self, *but: DataFrame) -> None:
         """Delete every table of this owner except ``but``."""
-        self.drop(*[t for t, _ in self._tables if not any(t is b for b in but)])
+        self.drop(*[t for t, _, _ in self._tables if not any(t is b for b in but)])
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -5,7 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from factlake.operators.evidence import with_evidence_index
-from factlake.operators.retrieval import KnowledgeIndex, kb_idf, score_entries
+from factlake.operators.retrieval import (
+    KnowledgeIndex,
+    candidates,
+    claim_tokens,
+    kb_idf,
+    score_entries,
+)
 from factlake.operators.verdicts import failed_claims, risk_level, risk_scores, verify_claims
 from factlake.plans.verify import verify_answers
 
@@ -96,8 +102,7 @@ def _brute_force(claims, kb, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot_df", [0, 1, 3, 20, 1000])
-def test_retrieval_is_exact_whatever_counts_as_frequent(spark, hot_df):
+def _some_knowledge(entries):
     """One word is in a third of all entries and claims, many entries are copies."""
     rng = random.Random(7)
     words = [f"w{i}" for i in range(40)]
@@ -108,16 +113,65 @@ def test_retrieval_is_exact_whatever_counts_as_frequent(spark, hot_df):
 
     kb = [
         (i, "s", rng.choice([None, 0.3, 0.9, 0.95]), "x", "", sorted(set(some(rng.randint(1, 5)))))
-        for i in range(300)
+        for i in range(entries)
     ]
     claims = [(i // 5, i % 5, " ".join(some(rng.randint(1, 7)) + ["unseen"] * (i % 2))) for i in range(120)]
-    index = KnowledgeIndex.build(spark.createDataFrame(kb, KB), hot_df=hot_df)
-    frame = spark.createDataFrame(claims, "answer_id long, claim_index int, text string")
-    got = [
-        (r["answer_id"], r["claim_index"], r["kb_id"], r["relevance_score"])
-        for r in score_entries(frame, index).collect()
-    ]
-    assert sorted(got) == _brute_force(claims, kb, 3)
+    return kb, claims
+
+
+CLAIMS = "answer_id long, claim_index int, text string"
+
+
+def _found(spark, claims, index):
+    rows = score_entries(spark.createDataFrame(claims, CLAIMS), index).collect()
+    return sorted((r["answer_id"], r["claim_index"], r["kb_id"], r["relevance_score"]) for r in rows)
+
+
+@pytest.mark.parametrize("hot_df, long_entry", [(0, 48), (1, 2), (3, 48), (3, 3), (20, 48), (256, 48)])
+def test_retrieval_is_exact_whatever_counts_as_frequent(spark, hot_df, long_entry):
+    kb, claims = _some_knowledge(300)
+    index = KnowledgeIndex.build(spark.createDataFrame(kb, KB), hot_df=hot_df, long_entry=long_entry)
+    assert _found(spark, claims, index) == _brute_force(claims, kb, 3)
+
+
+def test_an_index_takes_additions(spark, tmp_path):
+    """Built and added, compacted, or saved and read again: the same as built at once."""
+    kb, claims = _some_knowledge(300)
+    frame = spark.createDataFrame(kb, KB)
+    index = KnowledgeIndex.build(frame.where("kb_id < 130"), hot_df=8)
+    grown = index.add(frame.where("kb_id >= 130 AND kb_id < 290")).add(frame.where("kb_id >= 290"))
+    want = _brute_force(claims, kb, 3)
+    assert len(grown.segments) == 3 and _found(spark, claims, grown) == want
+    assert _found(spark, claims, index) == _brute_force(claims, kb[:130], 3)
+    compact = grown.compact()
+    assert len(compact.segments) == 1 and _found(spark, claims, compact) == want
+    df = lambda i: {tuple(r) for r in i.stats.collect()}
+    assert df(grown) == df(compact)
+    grown.save(f"{tmp_path}/index", buckets=4)
+    again = KnowledgeIndex.load(spark, f"{tmp_path}/index")
+    assert _found(spark, claims, again) == want
+    more = again.add(spark.createDataFrame([(999, "s", 0.99, "x", "", ["w1", "w2"])], KB))
+    assert _found(spark, claims, more) == _brute_force(claims, [*kb, (999, "s", 0.99, "x", "", ["w1", "w2"])], 3)
+
+
+def test_lists_bound_the_candidates_of_a_claim(spark):
+    """However large the knowledge base: the lists a claim is joined with don't grow."""
+    hot_df, credibilities, most = 16, 4, {}
+    for entries in (400, 4000):
+        kb, claims = _some_knowledge(entries)
+        index = KnowledgeIndex.build(spark.createDataFrame(kb, KB), hot_df=hot_df)
+        tokens = claim_tokens(spark.createDataFrame(claims, CLAIMS), index)
+        placed = tokens.join(index.segments[0].local, "token")
+        per_claim = placed.groupBy("answer_id", "claim_index").agg(
+            F.count_if(F.col("df") <= hot_df).alias("r"), F.count_if(F.col("df") > hot_df).alias("h")
+        )
+        found = candidates(placed, index.segments[0], hot_df).groupBy("answer_id", "claim_index").count()
+        rows = found.join(per_claim, ["answer_id", "claim_index"]).collect()
+        bound = max(hot_df, credibilities * index.k)
+        assert all(r["count"] <= (r["r"] + r["h"] ** 2) * bound for r in rows)
+        most[entries] = sum(r["count"] for r in rows) / len(rows)
+    print("candidates per claim:", most)
+    assert most[4000] < 2 * most[400]
 
 
 def test_reports_of_a_small_knowledge_base(spark):

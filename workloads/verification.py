@@ -71,6 +71,14 @@ def retrieved(spark, sf) -> DataFrame:
     return score_entries(_claims(spark, sf), _index(spark, sf))
 
 
+def retrieved_after_additions(spark, sf) -> DataFrame:
+    """The same from an index that got its entries in two goes."""
+    kb = materialized(knowledge_base(spark, sf))
+    first = F.col("kb_id") % 4 < 3
+    index = KnowledgeIndex.build(kb.where(first)).add(kb.where(~first))
+    return score_entries(_claims(spark, sf), index)
+
+
 def ranked(spark, sf) -> DataFrame:
     return rank_evidence(_pairs(spark, sf)).select(
         "answer_id", "claim_index", "kb_id", F.round("relevance_score", 9).alias("relevance_score"), "rank"
@@ -185,6 +193,7 @@ def reports(spark, sf) -> DataFrame:
 QUERIES = {
     "token_idf": token_idf,
     "retrieved": retrieved,
+    "retrieved_after_additions": retrieved_after_additions,
     "ranked_evidence": ranked,
     "alignment": alignment,
     "aligned_evidence": aligned_evidence,
@@ -437,6 +446,8 @@ _TO_RISKS = f"{_TO_VERDICTS}, {RISKS_SQL}"
 ORACLES = {
     "token_idf": f"{_TO_KB}, {IDF_SQL} SELECT token, df, round(idf, 9) AS idf FROM idf",
     "retrieved": f"{_TO_RETRIEVED} SELECT answer_id, claim_index, kb_id, relevance_score, kb_rank FROM retrieved",
+    "retrieved_after_additions": f"""{_TO_RETRIEVED}
+        SELECT answer_id, claim_index, kb_id, relevance_score, kb_rank FROM retrieved""",
     "ranked_evidence": f"""{_TO_RANKED}
         SELECT answer_id, claim_index, kb_id, round(relevance_score, 9) AS relevance_score, rank FROM ranked""",
     "alignment": f"""{_TO_ALIGNED}
