@@ -190,12 +190,13 @@ class Transducer:
     def encode(self, match: bytes) -> tuple[int, ...]:
         if len(self.states) > self.most_states:
             self._reset()
-        state, out = self.start, ()
+        state, out = self.start, []
         for byte in match:
             state, ids = state[byte]
             if ids:
-                out += ids
-        return out + state.end
+                out.extend(ids)
+        out.extend(state.end)
+        return tuple(out)
 
 
 def _follows() -> dict[str, dict[int, str]]:

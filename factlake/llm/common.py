@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from factlake.session import materialized
 
-__all__ = ["materialized", "table", "fresh", "utf8_rows", "in_slices", "column_udf", "sha256_hex"]
+__all__ = ["materialized", "table", "fresh", "utf8_rows", "in_slices", "column_udf", "sha256_hex", "sampled"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,3 +51,11 @@ def column_udf(function: Callable[[pa.Array], pa.Array], returns: str) -> Callab
 
 def sha256_hex(column: Column) -> Column:
     return F.sha2(column, 256)
+
+
+def sampled(key: str, rows: int, of: int) -> Column:
+    """True for about ``rows`` of ``of`` rows, chosen by a hash of ``key``; for all if there
+    are no more. The hash is compared as 63 bits, so no number of rows leaves none."""
+    share = min(1.0, rows / max(1, of))
+    place = F.shiftrightunsigned(F.xxhash64(key, F.lit("sample")), 1)
+    return place <= F.lit(min(int(share * 2**63), 2**63 - 1))

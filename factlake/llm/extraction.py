@@ -8,19 +8,22 @@ of a bounded sample of labelled pages, and a page is decoded by Viterbi.
 Pages come without labels by hand, so a labelled page is one that says itself where its
 article is (``article`` or ``main``): blocks in it are article unless they stand in one of
 OUTSIDE. Each labelled page is also used in variants: the containers renamed as other sites
-name them, or taken away, and paragraphs repeated as reader comments. So the field has to
-learn from text and neighbours too, and from more names than one site uses.
+name them, or taken away; paragraphs as list items, table cells, quotes and headings; notices,
+adverts and link lists inside the article, reader comments behind it; nothing before it or
+nothing after it. So the field has to learn from text and neighbours too, and from more names
+and forms than one site uses.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factlake.llm.common import column_udf
+from factlake.llm.common import column_udf, sampled
 from factlake.llm.html_blocks import Block, blocks_of
 
 CONTAINERS = frozenset({"article", "main"})
@@ -35,6 +38,7 @@ TAGS = frozenset(
     "h6 blockquote pre figure figcaption dl dt dd a b strong em span button label head menu "
     "select details dialog body".split()
 )
+INSIDE_HINTS = frozenset("content article post entry story".split())
 HINTS = OUTSIDE_HINTS | frozenset(
     "content article post entry story text body main page title headline paragraph widget login "
     "search contact legal copyright pagination tags author".split()
@@ -49,6 +53,43 @@ INSIDE_NAMES = (
     ("section", ("story",)),
     ("section", ()),
     ("div", ()),
+    ("body", ()),
+)
+#: What an article's text may stand in, from the outside in.
+FORMS = (
+    ("ul", "li"),
+    ("ol", "li"),
+    ("table", "tbody", "tr", "td"),
+    ("table", "tr", "td"),
+    ("table", "tr", "th"),
+    ("blockquote", "p"),
+    ("blockquote",),
+    ("dl", "dd"),
+    ("dl", "dt"),
+    ("pre",),
+    ("figure", "figcaption"),
+    ("h2",),
+    ("h3",),
+    ("div", "p"),
+    ("div",),
+    ("section", "p"),
+)
+#: What may stand inside an article without being part of it.
+NESTED_NAMES = (
+    ("aside", ()),
+    ("aside", ("related",)),
+    ("div", ("ad",)),
+    ("div", ("advert",)),
+    ("div", ("promo",)),
+    ("div", ("share",)),
+    ("div", ("related",)),
+    ("div", ("notice",)),
+    ("nav", ()),
+    ("footer", ()),
+    ("form", ()),
+    ("div", ("newsletter",)),
+    ("ul", ("share",)),
+    ("div", ("comments",)),
 )
 OUTSIDE_NAMES = (
     ("aside", ()),
@@ -86,11 +127,19 @@ def features_of(blocks: list[Block]) -> list[list[str]]:
         names = [f"tag={t}" for t in set(block.tags) & TAGS]
         names += [f"hint={h}" for h in block.hints & HINTS]
         own = next((t for t in reversed(block.tags) if t in TAGS), "")
+        links = _bin(block.linked / size, (0.01, 0.3, 0.9))
+        # Whether it stands in something that is never article, or says that it is.
+        outside = bool(OUTSIDE_TAGS & set(block.tags) or OUTSIDE_HINTS & block.hints)
+        inside = bool(CONTAINERS & set(block.tags) or INSIDE_HINTS & block.hints)
+        where = f"{outside:d}{inside:d}"
         names += [
             "always",
+            f"where={where}",
+            f"own={own},where={where}",
+            f"links={links},where={where}",
             f"own={own}",
             f"words={_bin(words, (2, 4, 8, 15, 30, 60))}",
-            f"links={_bin(block.linked / size, (0.01, 0.3, 0.9))}",
+            f"links={links}",
             f"ends={block.text[-1] in '.!?…:;\"”'}",
             f"place={_bin(k / len(blocks), (0.1, 0.3, 0.7, 0.9))}",
             f"legal={'©' in block.text or 'copyright' in block.text.lower()}",
@@ -120,33 +169,81 @@ def _renamed(block: Block, old: frozenset[str], name: tuple) -> Block:
     return Block(block.text, tags, (block.hints - OUTSIDE_HINTS) | set(name[1]), block.linked)
 
 
+def _reshaped(run: list[Block], form: tuple[str, ...], rng) -> list[Block]:
+    """Article blocks in another form; items and cells are pieces of a paragraph."""
+    out = []
+    for block in run:
+        keep = tuple(t for t in block.tags if t not in ("p", "b", "h1"))
+        words = block.text.split(" ")
+        pieces = [words]
+        if form[0] in ("ul", "ol", "table", "dl", "h2", "h3"):
+            step = int(rng.integers(1, 16))
+            pieces = [words[k : k + step] for k in range(0, min(len(words), 4 * step), step)]
+        out += [Block(" ".join(w), keep + form, block.hints, 0) for w in pieces if w != [""]]
+    return out
+
+
+def _nested(container: Block, texts: list[str], rng) -> list[Block]:
+    """Blocks that stand in the article's container and aren't part of it."""
+    tag, words = NESTED_NAMES[rng.integers(len(NESTED_NAMES))]
+    tags = tuple(t for t in container.tags if t not in ("p", "b", "h1"))
+    out = []
+    for k in range(int(rng.integers(1, 4))):
+        text = texts[rng.integers(len(texts))][: int(rng.integers(10, 300))].strip()
+        linked = len(text) if rng.random() < 0.3 else 0
+        leaf = ("li",) if tag == "ul" or rng.random() < 0.2 else ("p",) if rng.random() < 0.7 else ()
+        if text:
+            out.append(Block(text, tags + (tag,) + leaf, container.hints | set(words), linked))
+    return out
+
+
 def variant(blocks: list[Block], labels: list[int], rng) -> tuple[list[Block], list[int]]:
-    """The same page under other names, sometimes with reader comments behind it."""
+    """The same page in other names and forms, with more that isn't article."""
     inside = INSIDE_NAMES[rng.integers(len(INSIDE_NAMES))]
-    out, marks = [], []
     outside: dict[frozenset, tuple] = {}
+    page: list[tuple[Block, int]] = []
     for block, label in zip(blocks, labels):
         if label:
-            out.append(_renamed(block, CONTAINERS, inside))
-        else:
-            group = frozenset(block.tags) | block.hints
-            if group not in outside:
-                outside[group] = (
-                    OUTSIDE_NAMES[rng.integers(len(OUTSIDE_NAMES))] if rng.random() < 0.7 else None
-                )
-            name = outside[group]
-            out.append(block if name is None else _renamed(block, OUTSIDE_TAGS | {"div"}, name))
-        marks.append(label)
-    article = [block for block, label in zip(out, marks) if label]
-    if article and rng.random() < 0.4:
-        at = max(k for k, label in enumerate(marks) if label) + 1
+            page.append((_renamed(block, CONTAINERS, inside), 1))
+            continue
+        group = frozenset(block.tags) | block.hints
+        if group not in outside:
+            outside[group] = (
+                OUTSIDE_NAMES[rng.integers(len(OUTSIDE_NAMES))] if rng.random() < 0.7 else None
+            )
+        name = outside[group]
+        page.append((block if name is None else _renamed(block, OUTSIDE_TAGS | {"div"}, name), 0))
+    article = [k for k, (_, label) in enumerate(page) if label]
+    if not article:
+        return [b for b, _ in page], [label for _, label in page]
+    texts = [block.text for block, _ in page]
+    first, last = article[0], article[-1]
+    head, body, tail = page[:first], page[first : last + 1], page[last + 1 :]
+    container = body[0][0]
+    if rng.random() < 0.7:
+        for _ in range(int(rng.integers(1, 4))):
+            at = int(rng.integers(len(body)))
+            upto = min(len(body), at + int(rng.integers(1, 4)))
+            run = [block for block, label in body[at:upto] if label]
+            form = FORMS[rng.integers(len(FORMS))]
+            body[at:upto] = [(b, 1) for b in _reshaped(run, form, rng)] or body[at:upto]
+    if rng.random() < 0.5:
+        for _ in range(int(rng.integers(1, 3))):
+            at = int(rng.integers(len(body) + 1))
+            body[at:at] = [(b, 0) for b in _nested(container, texts, rng)]
+    if rng.random() < 0.4:
         tag, words = COMMENT_NAMES[rng.integers(len(COMMENT_NAMES))]
-        for k in range(int(rng.integers(1, 6))):
-            copy = article[rng.integers(len(article))]
-            text = copy.text[: int(rng.integers(20, 400))]
-            out.insert(at, Block(text, ("html", "body", tag, "p"), frozenset(words), 0))
-            marks.insert(at, 0)
-    return out, marks
+        for _ in range(int(rng.integers(1, 6))):
+            text = texts[rng.integers(len(texts))][: int(rng.integers(20, 400))]
+            tail.insert(0, (Block(text, ("html", "body", tag, "p"), frozenset(words), 0), 0))
+    if rng.random() < 0.25:
+        head = []
+    if rng.random() < 0.25:
+        tail = []
+    if rng.random() < 0.2:  # a short page
+        body = body[: int(rng.integers(1, 4))]
+    page = head + body + tail
+    return [block for block, _ in page], [label for _, label in page]
 
 
 @dataclass
@@ -246,13 +343,15 @@ def train(
 
 
 def fit(
-    pages: DataFrame, *, sample_pages: int = 200, variants: int = 3, longest: int = 200_000
+    pages: DataFrame, *, sample_pages: int = 200, variants: int = 6, longest: int = 200_000
 ) -> Field:
     """Trains on a hash sample of about ``sample_pages`` pages of up to ``longest`` characters,
-    their first 100 blocks, and ``variants`` variants of each; the bounds are on training only."""
-    share = min(1.0, sample_pages / max(1, pages.count()))
-    place = F.pmod(F.xxhash64("page_id", F.lit("sample")), F.lit(1_000_000))
-    chosen = pages.where((place < int(share * 1_000_000)) & (F.length("html") <= longest))
+    their first 100 blocks, and ``variants`` variants of each; the bounds are on training only.
+
+    If no page of the sample says where its article is, the field is a plain one that takes
+    what stands in ``article`` or ``main``, and a warning says so.
+    """
+    chosen = pages.where(sampled("page_id", sample_pages, pages.count()) & (F.length("html") <= longest))
     rng = np.random.default_rng(1)
     out = []
     for row in sorted(chosen.select("html").distinct().toPandas()["html"])[: 2 * sample_pages]:
@@ -264,6 +363,8 @@ def fit(
             variant(blocks, labels, rng) for _ in range(variants)
         ]:
             out.append((features_of(page), marks))
+    if not out:
+        warnings.warn("no page of the sample marks its article; only marked ones are extracted")
     return train(out)
 
 

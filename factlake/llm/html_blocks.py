@@ -15,7 +15,9 @@ BLOCKS = frozenset(
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
-RAW = "script|style|title|textarea|noscript|template|iframe|svg|math"
+RAW = frozenset("script style title textarea noscript template iframe svg math".split())
+#: Elements of other languages, which may end themselves.
+FOREIGN = frozenset({"svg", "math"})
 #: An element of the key ends open elements of the value by its start.
 ENDS = {
     "li": {"li"},
@@ -31,12 +33,12 @@ SCOPES = frozenset("table ul ol dl select body html td th button".split())
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"""|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<rest>(?:"[^"]*"|'[^']*'|[^>"'])*+)>"""
+    r"""|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:"[^"]*"|'[^']*'|[^>"'])*+)>"""
     r"|</?[a-z][^>]*(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)",
     re.IGNORECASE | re.DOTALL,
 )
+_RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE) for name in RAW}
 _HINTS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -55,7 +57,8 @@ def blocks_of(html: str) -> list[Block]:
     """The non-empty leaf blocks in page order.
 
     Comments, declarations and elements without readable text (scripts, styles, titles)
-    are passed over, also where they are never closed. Character references are decoded,
+    are passed over. Where such an element has no end tag or ends itself (``<svg/>``), only
+    its tag is passed over: what follows belongs to the page. Character references are decoded,
     white space becomes one space. Unbalanced tags are closed as browsers do it for
     paragraphs, list items and cells; an end tag without a start is ignored.
     """
@@ -79,7 +82,8 @@ def blocks_of(html: str) -> list[Block]:
         del stack[depth:]
 
     at = 0
-    for found in _MARKUP.finditer(html):
+    unended: set[str] = set()
+    while (found := _MARKUP.search(html, at)) is not None:
         if found.start() > at:
             text = unescape(html[at : found.start()])
             parts.append(text)
@@ -89,6 +93,16 @@ def blocks_of(html: str) -> list[Block]:
         if not name:
             continue
         name = name.lower()
+        if name in RAW:
+            closed = name in FOREIGN and found["rest"].endswith("/")
+            if not found["end"] and not closed and name not in unended:
+                # Without an end tag ahead there is none for a later element either.
+                end = _RAW_ENDS[name].search(html, at)
+                if end is None:
+                    unended.add(name)
+                else:
+                    at = end.end()
+            continue
         if found["end"]:
             if name in BLOCKS:
                 flush()

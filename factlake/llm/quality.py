@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factlake.llm.common import column_udf, fresh, in_slices, utf8_rows
+from factlake.llm.common import column_udf, fresh, in_slices, sampled, utf8_rows
 
 WINDOW = 8
 COUNTS = {
@@ -274,9 +274,7 @@ def fit(
         .groupBy("doc_id")
         .agg(F.min("quality").alias("quality"))
     )
-    share = min(1.0, sample_rows / max(1, known.count()))
-    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
-    chosen = known.where(place < int(share * 1_000_000)).withColumn(
+    chosen = known.where(sampled("doc_id", sample_rows, known.count())).withColumn(
         "held_back", F.pmod(F.xxhash64("doc_id", F.lit("held back")), F.lit(3)) == 0
     )
     counts = fresh("counts")

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factlake.llm.common import column_udf, materialized, utf8_rows
+from factlake.llm.common import column_udf, fresh, materialized, utf8_rows
 from factlake.llm.components import components
 
 WORDS = 4
@@ -241,14 +241,19 @@ def near_duplicates(
     prints = materialized(
         docs.select("doc_id", fingerprint(F.col("text"), words).alias("fp"))
     )
-    nodes = materialized(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    _, named = _named(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), distance)
+    return prints.join(named, "fp").select("doc_id", "fp", F.col("named").alias("component_id"))
+
+
+def _named(grouped: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(fp, least) written, and (fp, named): the smallest ``least`` of the component."""
+    nodes = materialized(grouped)
     linked = materialized(components(near_links(nodes.select("fp"), distance)))
-    grouped = nodes.join(linked, nodes["fp"] == linked["node"], "left").select(
+    rooted = nodes.join(linked, nodes["fp"] == linked["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    names = materialized(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = materialized(grouped.join(names, "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    names = materialized(rooted.groupBy("root").agg(F.min("least").alias("named")))
+    return nodes, materialized(rooted.join(names, "root").select("fp", "named"))
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -258,12 +263,20 @@ def hex_fingerprint(fp: Column) -> Column:
 def one_per_group(
     docs: DataFrame, *, words: int = WORDS, distance: int = DISTANCE
 ) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component; copies go.
+    """One row of ``docs`` for each component; copies go.
 
-    Rows with the same doc_id are one document here, and one row of them stays. Rows
-    without a doc_id can't be named as the one that stays, so all of them stay.
+    The row that stays is that with the smallest doc_id, and of rows that share this id with
+    different texts that with the smallest hash of its text: they are documents of their own
+    and each stands in the component of its own text. Rows equal in doc_id and text are one.
+    Rows without a doc_id can't be named as the one that stays, so all of them stay.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), words=words, distance=distance)
-    stays = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(materialized(stays), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    of, key = fresh("id"), fresh("key")
+    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.where(F.col("doc_id").isNotNull())
+    prints = rows.select("doc_id", text_key.alias("key"), fingerprint(F.col("text"), words).alias("fp"))
+    least = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("least"))
+    _, named = _named(least, distance)
+    stays = materialized(named.select(F.col("named.doc_id").alias(of), F.col("named.key").alias(key)).distinct())
+    same = (F.col("doc_id") == F.col(of)) & (F.col(key) == text_key)
+    kept = rows.join(stays, same).dropDuplicates([of, key]).drop(of, key)
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))

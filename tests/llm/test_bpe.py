@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -70,3 +71,15 @@ def test_decoder_follows_utf8(both):
         data = bytes(rnd.choices(b"a\xc3\xa9\xe2\x82\xac\xf0\x9f\x98\x80\xff\xed\xa0\xc0", k=rnd.randint(0, 9)))
         ids = [ranks[data[k : k + 1]] for k in range(len(data))]
         assert decode(ids) == data.decode(errors="replace").encode()
+
+
+def test_a_match_without_a_break_takes_linear_time(both):
+    _, ranks, _ = both
+    ours = bpe.Transducer(ranks)
+    letters = bytes(random.Random(1).choices(b"abcdeinorst", k=1_000_000))
+    ours.encode(letters[:100_000])
+    start = time.perf_counter()
+    ids = ours.encode(letters)
+    assert time.perf_counter() - start < 10
+    token = {number: value for value, number in ranks.items()}
+    assert b"".join(token[k] for k in ids) == letters

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -48,12 +49,110 @@ def test_blocks():
       <style>no</style><!-- no <p>no --><nav><a href="a>b">Link</a></nav>
       <p>One &amp; two&nbsp;&#33; <b>bold<i>er</b></i><br>next
       <p>Second<ul><li>x<li>y</ul><table><tr><td>c1<td>c2</table></div>tail &am
-      <script>never closed"""
+      <script>closed</script >"""
     texts = [b.text for b in blocks_of(page)]
     assert texts == ["Link", "One & two ! bolder next", "Second", "x", "y", "c1", "c2", "tail &am"]
     assert blocks_of("") == [] and blocks_of("<<<>>> a < b")[0].text.endswith("a < b")
 
 
+@pytest.mark.parametrize(
+    "inner, want",
+    [
+        ('<p>One</p><svg class="i"/><p>Two</p>', "One|Two"),
+        ("<p>One</p><template-card>x</template-card><p>Two</p>", "One|x|Two"),
+        ("<p>One</p><math-field></math-field><title-bar>t</title-bar><p>Two</p>", "One|t|Two"),
+        ("<p>One</p><iframe/><p>Two</p>", "One|Two"),
+        ('<p>One</p><iframe src="a>b">no</iframe><p>Two</p><style>no', "One|Two|no"),
+        ('<p>One</p><svg><path d="M0"/><text>no</text></svg ><p>Two</p>', "One|Two"),
+        ("<p>One</p><math/><math><mi>x</mi></math><p>Two</p>", "One|Two"),
+    ],
+)
+def test_raw_elements_take_nothing_else(inner, want):
+    assert [b.text for b in blocks_of(f"<article>{inner}</article>")] == want.split("|")
+
+
+def test_many_unended_elements_take_linear_time():
+    page = "<p>a<svg><title>" * 40_000
+    start = time.perf_counter()
+    assert len(blocks_of(page)) == 40_000
+    assert time.perf_counter() - start < 20
+
+
+SENTENCES = [
+    "The council met on Tuesday to discuss the new harbour wall and its cost.",
+    "Residents had asked for a decision since the storm of last winter.",
+    "Engineers presented three designs, and the cheapest was turned down.",
+    "Work should begin in spring, once the fishing season is over.",
+    "The mayor said that the town could not wait for another flood.",
+    "A final vote is expected before the end of the month.",
+]
+ITEMS = ["Two gates of steel", "A wall of 300 metres", "New pumps", "Four years of work"]
+PARAGRAPHS = "".join(f"<p>{x}</p>" for x in SENTENCES)
+LIST = "<ul>" + "".join(f"<li>{x}</li>" for x in ITEMS) + "</ul>"
+TABLE = "<table><tr><th>Design<th>Cost</tr><tr><td>Steel<td>40 million</tr></table>"
+TABLE_TEXT = ["Design", "Cost", "Steel", "40 million"]
+MENU = "<nav><ul><li><a href=/>Home</a><li><a href=/n>News</a><li><a href=/c>Contact</a></ul></nav>"
+FOOT = "<footer><p>© 2024 The Daily Page</p><a href=/i>Imprint</a></footer>"
+AD = '<div class="ad">Buy new boots today, half price.</div>'
+HEAD = "<h1>Town plans a new harbour wall</h1>"
+LAYOUTS = {
+    "list in article": (f"{MENU}<article>{HEAD}{PARAGRAPHS}{LIST}</article>{FOOT}", [HEAD[4:-5], *SENTENCES, *ITEMS]),
+    "list in the middle": (
+        f"{MENU}<article>{HEAD}<p>{SENTENCES[0]}</p>{LIST}<p>{SENTENCES[1]}</p></article>{FOOT}",
+        [HEAD[4:-5], SENTENCES[0], *ITEMS, SENTENCES[1]],
+    ),
+    "table in article": (f"{MENU}<article>{HEAD}{PARAGRAPHS}{TABLE}<p>{SENTENCES[0]}</p></article>{FOOT}", [HEAD[4:-5], *SENTENCES, *TABLE_TEXT, SENTENCES[0]]),
+    "quote and headings": (
+        f"{MENU}<main>{HEAD}<p>{SENTENCES[0]}</p><h2>Costs</h2><p>{SENTENCES[1]}</p><blockquote><p>{SENTENCES[4]}</p></blockquote><p>{SENTENCES[5]}</p></main>{FOOT}",
+        [HEAD[4:-5], SENTENCES[0], "Costs", SENTENCES[1], SENTENCES[4], SENTENCES[5]],
+    ),
+    "aside inside": (
+        f"{MENU}<article>{HEAD}<p>{SENTENCES[0]}</p><aside><p>More about harbours and walls in our special.</p></aside><p>{SENTENCES[1]}</p>{AD}<p>{SENTENCES[2]}</p></article>{FOOT}",
+        [HEAD[4:-5], *SENTENCES[:3]],
+    ),
+    "content by id": (f'{MENU}<div id="content">{HEAD}{PARAGRAPHS}</div>{FOOT}', [HEAD[4:-5], *SENTENCES]),
+    "content by id, last": (f'{MENU}<div id="content">{HEAD}{PARAGRAPHS}</div>', [HEAD[4:-5], *SENTENCES]),
+    "plain body": (f"{HEAD}{PARAGRAPHS}", [HEAD[4:-5], *SENTENCES]),
+    "post with comments": (
+        f'<header><a href=/>Site</a></header><div class="post">{HEAD}{PARAGRAPHS}{LIST}</div><section class="comments"><h3>Comments</h3><p>I think it is far too expensive for us.</p><p>Finally they do something about it!</p></section>{FOOT}',
+        [HEAD[4:-5], *SENTENCES, *ITEMS],
+    ),
+    "newsletter form inside": (
+        f'{MENU}<article>{HEAD}<p>{SENTENCES[0]}</p><form class="newsletter"><p>Get our letter every Friday.</p><input><button>Subscribe</button></form><p>{SENTENCES[3]}</p></article>{FOOT}',
+        [HEAD[4:-5], SENTENCES[0], SENTENCES[3]],
+    ),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_hand_written_layouts(field, name):
+    """Pages of other sites, none of them used in training."""
+    page, want = LAYOUTS[name]
+    blocks = blocks_of(f"<html><head><title>x</title></head><body>{page}</body></html>")
+    labels = field.decode(extraction.features_of(blocks))
+    assert [b.text for b, label in zip(blocks, labels) if label] == want
+
+
+def test_clashing_names_and_repeated_pages(spark, field):
+    page = LAYOUTS["list in article"]
+    df = spark.createDataFrame([(1, page[0]), (1, page[0]), (2, page[0])], "page_id int, html string")
+    for name in ("text", "labels", "sample", "url"):
+        df = df.withColumn(name, F.lit("theirs"))
+    out = df.select("page_id", "text", extraction.main_text(F.col("html"), field).alias("found")).collect()
+    assert [(r["page_id"], r["text"], r["found"]) for r in out] == [(k, "theirs", "\n".join(page[1])) for k in (1, 1, 2)]
+
+
+def test_a_sample_is_never_empty(spark):
+    from factlake.llm.common import sampled
+
+    ids = spark.range(100_000)
+    for rows in (10, 10**12):
+        assert ids.where(sampled("id", 200, rows)).count() == (100_000 if rows == 10 else 0)
+    # The bound itself: 200 of 10^15 rows is a positive number of hash values.
+    assert int(200 / 10**15 * 2**63) > 10**6
+    assert 100 < ids.where(sampled("id", 200, 100_000)).count() < 320
+
+
 def test_decoding_is_the_best_labelling():
     rng = np.random.default_rng(0)
     names = list("abcde")
@@ -78,7 +177,8 @@ def test_odd_pages(spark, field):
     assert [r["text"] for r in out[:3]] == ["", "", ""]
     assert out[3]["text"] in ("", " ".join(["word"] * 50_000))
     assert pages.limit(0).select(extraction.main_text(F.col("html"), field)).collect() == []
-    assert extraction.fit(pages).decode([["always"]]) == [0]
+    with pytest.warns(UserWarning, match="no page"):
+        assert extraction.fit(pages).decode([["always"]]) == [0]
 
 
 def test_query_columns(spark):

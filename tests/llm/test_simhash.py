@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factlake.llm import simhash
 from factlake.llm.common import table
 from factlake.llm.components import components
+from conftest import prose
 from helpers import texts_of
 
 SF = "/root/testdata/sf0.001"
@@ -94,6 +95,12 @@ def test_one_stays(spark, odd, none):
     assert simhash.near_duplicates(none).collect() == []
 
 
+def test_different_texts_of_one_doc_id_both_stay(spark):
+    rows = [(1, prose(1, 40), "a"), (1, prose(2, 40), "b"), (1, prose(2, 40), "b"), (2, prose(1, 40), "c"), (3, prose(2, 40), "d"), (0, prose(3, 40), "e")]
+    kept = simhash.one_per_group(spark.createDataFrame(rows, "doc_id int, text string, key string"))
+    assert sorted(map(tuple, kept.collect())) == sorted([rows[0], rows[1], rows[5]])
+
+
 def test_components(spark):
     rnd = random.Random(1)
     links = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(200)]
