@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from factlake.functions import fixed_values as fv
-from factlake.functions.deobfuscate import deobfuscated
 from factlake.functions.pii import pii_spans
 from factlake.operators.rows import unnest
 from factlake.operators.screening import screen_level, worst_level
@@ -118,14 +117,6 @@ def restored_prompts(spark, sf) -> DataFrame:
     return back.select("prompt_id", F.md5("response").alias("digest"))
 
 
-def plain_forms(spark, sf) -> DataFrame:
-    return (
-        prompts(spark, sf)
-        .select("prompt_id", deobfuscated(F.col("prompt")).alias("plain"))
-        .where(F.col("plain").isNotNull())
-    )
-
-
 def risk_scale(spark, sf) -> DataFrame:
     """Both levels of every document's score pair, and the worse of the two."""
     left = (F.col("doc_id") % 101).cast("double") / 100
@@ -146,7 +137,6 @@ QUERIES = {
     "screened_by_risk": screened_by_risk,
     "screened_without_gates": screened_without_gates,
     "restored_prompts": restored_prompts,
-    "plain_forms": plain_forms,
     "risk_scale": risk_scale,
 }
 
