@@ -7,8 +7,9 @@ expected claim. The recursion carries what is used so far, one row per case and
 from __future__ import annotations
 
 from factlake.functions import fixed_values as fv
-from workloads.base import sql_text, sql_words
+from workloads.base import sql_round, sql_text, sql_words
 from workloads.evaluation import _DIFF, EVAL_SQL
+from workloads.verification import _TO_RISKS, CITED_SQL
 
 
 def _quoted(template: str, *values: str) -> str:
@@ -117,5 +118,11 @@ ORACLES = {
                ELSE {_ISSUES} END AS issues FROM results""",
     "benchmark_failures": f"""WITH RECURSIVE {EVAL_SQL}, {RESULTS_SQL}
         SELECT case_id, unnest(failed) AS issue, (generate_subscripts(failed, 1) - 1)::INT AS position FROM results""",
+    "report_predictions": f"""{_TO_RISKS}, {CITED_SQL}
+        SELECT 'case_' || answer_id AS case_id, n_claims, n_claims AS n_verdicts, {sql_round('risk_score', 2)} AS risk_score,
+          risk_level, coalesce(citations, '') AS citations
+        FROM risks LEFT JOIN (
+          SELECT answer_id, string_agg(coalesce(nullif(url, ''), source), '|' ORDER BY evidence_index) AS citations
+          FROM cited GROUP BY 1) USING (answer_id)""",
 }
 QUERIES: dict = {}
