@@ -51,3 +51,9 @@ FEEDBACK = (
     "id STRING, request_id STRING, claim_index INT, predicted_verdict STRING, "
     "correct_verdict STRING, comment STRING, created_at TIMESTAMP"
 )
+CASE_RESULTS = (
+    "case_id STRING, n_claims INT, claim_accuracy DOUBLE, claim_precision DOUBLE, claim_recall DOUBLE, "
+    "claim_f1 DOUBLE, verdict_accuracy DOUBLE, verdict_precision DOUBLE, verdict_recall DOUBLE, "
+    "verdict_f1 DOUBLE, hallucination_rate DOUBLE, citation_coverage DOUBLE, risk_level_match BOOLEAN, "
+    "failed_checks ARRAY<STRING>"
+)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -17,6 +20,7 @@ SETTINGS = {
 }
 
 _OWN_FOLDER = "spark.factlake.folder"
+_OWNER: ContextVar[Scratch | None] = ContextVar("owner", default=None)
 
 
 def build_session(master: str | None = None, **settings: str) -> SparkSession:
@@ -48,8 +52,11 @@ def materialized(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, lineage cut.
 
     Unlike an RDD checkpoint the table is columnar, so later steps read only the
-    columns they use, and it outlives the executors that wrote it.
+    columns they use, and it outlives the executors that wrote it. Inside
+    ``temporary_tables`` it is dropped at the end.
     """
+    if (owner := _OWNER.get()) is not None:
+        return owner.table(df)
     path = f"{shared_folder(df.sparkSession)}/factlake/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -118,14 +125,48 @@ class Scratch:
                 if written is df:
                     if name:
                         self._spark.sql(f"DROP TABLE IF EXISTS {name}")
-                    _delete(self._spark, path)
+                    drop_folder(self._spark, path)
 
     def drop_all(self, *but: DataFrame) -> None:
         """Delete every table of this owner except ``but``."""
         self.drop(*[t for t, _, _ in self._tables if not any(t is b for b in but)])
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    """Through Spark's own file systems, so that any store that it writes to will do."""
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[Scratch]:
+    """Every table that jobs leave in the shared folder inside the block is dropped after it.
+
+    For a consumer that writes what it wants to keep, as a micro-batch does::
+
+        with temporary_tables(spark):
+            verify_answers(answers, index).reports.write.parquet(path)
+    """
+    owner = Scratch(spark)
+    token = _OWNER.set(owner)
+    try:
+        yield owner
+    finally:
+        _OWNER.reset(token)
+        owner.drop_all()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def written_once(spark: SparkSession, make: Callable[[], DataFrame], path: str) -> DataFrame:
+    """The table at ``path``, made and written if no earlier run has finished writing it.
+
+    Spark's own mark of a finished write tells a whole table from what a killed run left.
+    """
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        with temporary_tables(spark):
+            make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there, through Spark's own file systems: any store will do."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from factlake import schemas
+from factlake.functions import fixed_values as fv
+from factlake.plans.benchmark import Benchmark
 
 
 def read_eval_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -31,21 +33,26 @@ def read_feedback(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, schemas.FEEDBACK)
 
 
-def feedback_rows(df: DataFrame) -> DataFrame:
-    """Corrections with a key and a UTC time stamp."""
-    return df.select(
-        F.uuid().alias("id"),
-        "request_id",
-        "claim_index",
-        "predicted_verdict",
-        "correct_verdict",
-        F.coalesce("comment", F.lit("")).alias("comment"),
-        F.current_timestamp().alias("created_at"),
-    )
+_CORRECTION = ["request_id", "claim_index", "predicted_verdict", "correct_verdict", "comment"]
+
+
+def feedback_rows(df: DataFrame, sent_at: str | None = None) -> DataFrame:
+    """Corrections with a key and a UTC time stamp.
+
+    The key follows from what was sent (and when, if there is a ``sent_at`` column), so that a
+    job that is run again gives a correction the same key.
+    """
+    when = F.current_timestamp() if sent_at is None else F.col(sent_at).cast("timestamp")
+    comment = F.coalesce("comment", F.lit("")).alias("comment")
+    rows = df.select(*_CORRECTION[:-1], comment, when.alias("created_at"))
+    sent = _CORRECTION if sent_at is None else [*_CORRECTION, "created_at"]
+    # As JSON a null differs from a text and no value can run into the next one.
+    key = F.sha2(F.to_json(F.struct(*sent), {"ignoreNullFields": "false"}), 256)
+    return rows.select(key.alias("id"), *rows.columns)
 
 
-def append_feedback(df: DataFrame, path: str) -> None:
-    feedback_rows(df).write.mode("append").parquet(path)
+def append_feedback(df: DataFrame, path: str, sent_at: str | None = None) -> None:
+    feedback_rows(df, sent_at).write.mode("append").parquet(path)
 
 
 def write_json_report(summary: DataFrame, path: str, dataset_name: str, dataset_version: str) -> None:
@@ -54,6 +61,61 @@ def write_json_report(summary: DataFrame, path: str, dataset_name: str, dataset_
         F.lit(dataset_name).alias("dataset_name"),
         F.lit(dataset_version).alias("dataset_version"),
         F.struct(*summary.columns).alias("aggregate_results"),
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("generated_at"),
+        _now().alias("generated_at"),
     )
     summary.select(F.to_json(document).alias("value")).write.mode("overwrite").text(path)
+
+
+def _now() -> Column:
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def write_evaluation(run: Benchmark, path: str, dataset_name: str, dataset_version: str) -> None:
+    """The whole evaluation as one JSON document: summary, every case's results, advice.
+
+    The document is the lines of the part files in the order of their names; each case is a
+    line of its own. It is sorted and written in parts, so no task holds more than its share
+    of the cases; ``read_evaluation`` reads the cases back.
+    """
+    scores = [c for c in run.summary.columns if c != "recommendations"]
+    head = F.struct(F.lit(dataset_name).alias("dataset_name"), F.lit(dataset_version).alias("dataset_version"))
+    tail = F.struct(_now().alias("generated_at"), F.lit(fv.RUNNER_VERSION).alias("runner_version"))
+    inside = F.struct("recommendations")
+
+    def opened(json: Column) -> Column:
+        return F.regexp_replace(json, r"\}$", "")
+
+    def continued(json: Column) -> Column:
+        return F.regexp_replace(json, r"^\{", ",")
+
+    summary = run.summary.select(
+        F.concat(
+            opened(F.to_json(head)),
+            F.lit(',"aggregate_results":'),
+            opened(F.to_json(F.struct(*scores))),
+            F.lit(',"case_results":['),
+        ).alias("first"),
+        F.concat(
+            F.lit("]"), continued(F.to_json(inside)), continued(F.to_json(tail))
+        ).alias("last"),
+    )
+    ends = F.explode(
+        F.array(
+            F.struct(F.lit(0).alias("part"), F.col("first").alias("value")),
+            F.struct(F.lit(2).alias("part"), F.col("last").alias("value")),
+        )
+    )
+    frame = summary.select(ends.alias("e")).select("e.part", F.lit("").alias("case_id"), "e.value")
+    least = run.results.agg(F.min("case_id")).scalar()
+    comma = F.when(F.col("case_id") == least, "").otherwise(",")
+    line = F.concat(comma, F.to_json(F.struct(*run.results.columns), {"ignoreNullFields": "false"}))
+    cases = run.results.select(F.lit(1).alias("part"), "case_id", line.alias("value"))
+    ordered = frame.unionByName(cases).orderBy("part", "case_id").select("value")
+    ordered.write.mode("overwrite").text(path)
+
+
+def read_evaluation(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The cases of a document that ``write_evaluation`` has written, in a declared schema."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^,", "").alias("value"))
+    cases = lines.where(F.startswith("value", F.lit('{"case_id"')))
+    return cases.select(F.from_json("value", schema).alias("c")).select("c.*")

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from factlake.operators.retrieval import KnowledgeIndex
 from factlake.plans.screen import ScreenOptions, screen
 from factlake.plans.verify import verify_answers
+from factlake.session import drop_folder, temporary_tables
 from factlake.sources import feedback_rows
 
 
@@ -33,20 +34,37 @@ def screen_stream(
 
 
 def verify_stream(answers: DataFrame, index: KnowledgeIndex, path: str, checkpoint: str) -> StreamingQuery:
-    """Verify each micro-batch of answers as a batch; one report row per answer."""
+    """Verify each micro-batch of answers as a batch; one report row per answer.
+
+    What a micro-batch leaves in the shared folder is dropped when its reports are written.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        reports = verify_answers(batch, index).reports
-        reports.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        with temporary_tables(batch.sparkSession):
+            reports = verify_answers(batch, index).reports
+            reports.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return _started(answers, write, checkpoint)
 
 
-def feedback_stream(corrections: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append a stream of corrections to the feedback table."""
+def feedback_stream(
+    corrections: DataFrame,
+    path: str,
+    checkpoint: str,
+    sent_at: str | None = None,
+    late: str = "1 hour",
+) -> StreamingQuery:
+    """Append a stream of corrections to the feedback table.
+
+    With a ``sent_at`` column a correction that is sent again (same content, same time) within
+    ``late`` is appended once; the state holds the keys of that time only. Without it the table
+    gets every row that arrives.
+    """
+    rows = feedback_rows(corrections, sent_at)
+    if sent_at is not None:
+        rows = rows.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["id"])
     return (
-        feedback_rows(corrections)
-        .writeStream.format("parquet")
+        rows.writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
@@ -59,11 +77,14 @@ def feedback_totals_stream(corrections: DataFrame, path: str, checkpoint: str) -
     """Running totals per correction pair; the state has one row per pair of verdicts.
 
     Every batch writes a folder of its own, so readers always find whole totals and a batch
-    that is repeated after a failure replaces itself only; see ``read_totals``.
+    that is repeated after a failure replaces itself only; see ``read_totals``. Only the last
+    two folders are kept.
     """
 
     def write(totals: DataFrame, batch_id: int) -> None:
         totals.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        # The one before stays, for readers that have just found it.
+        drop_folder(totals.sparkSession, f"{path}/batch_id={batch_id - 2}")
 
     pairs = corrections.groupBy("predicted_verdict", "correct_verdict").count()
     return (

@@ -9,7 +9,17 @@ from factlake.operators.feedback import feedback_summary
 from factlake.operators.metrics import citation_coverage, class_metrics, macro_f1
 from factlake.operators.validation import split, validate_eval_cases
 from factlake.plans.benchmark import run_benchmark
-from factlake.sources import append_feedback, read_eval_cases, read_feedback, write_json_report
+from factlake import schemas
+from factlake.sources import (
+    append_feedback,
+    feedback_rows,
+    read_eval_cases,
+    read_evaluation,
+    read_feedback,
+    write_evaluation,
+    write_json_report,
+)
+from factlake.streaming import feedback_stream
 
 S, C, N = "SUPPORTED", "CONTRADICTED", "NOT_ENOUGH_EVIDENCE"
 CASES = [  # id, claims with verdicts, expected level
@@ -154,6 +164,45 @@ def test_json_report(spark, dataset, predictions, tmp_path):
     assert document["dataset_name"] == "sample" and document["aggregate_results"]["total_cases"] == 5
 
 
+def test_the_whole_evaluation_is_one_document(spark, dataset, predictions, tmp_path):
+    path = tmp_path / "evaluation"
+    run = run_benchmark(dataset, predictions, "processing_time_ms")
+    write_evaluation(run, str(path), 'a "sample"', "1")
+    text = "\n".join(f.read_text() for f in sorted(path.glob("part-*")))
+    document = json.loads(text)
+    assert list(document) == ["dataset_name", "dataset_version", "aggregate_results", "generated_at", "runner_version"]
+    aggregate = document["aggregate_results"]
+    assert document["dataset_name"] == 'a "sample"' and aggregate["total_cases"] == 5
+    assert list(aggregate)[-2:] == ["case_results", "recommendations"]
+    rows = [r.asDict() for r in run.results.orderBy("case_id").collect()]
+    assert aggregate["case_results"] == rows
+    back = read_evaluation(spark, str(path), schemas.CASE_RESULTS)
+    assert sorted(back.collect()) == sorted(run.results.collect()) and back.columns == run.results.columns
+    none = run_benchmark(dataset.limit(0), predictions, "processing_time_ms")
+    write_evaluation(none, str(path), "none", "1")
+    document = json.loads("\n".join(f.read_text() for f in sorted(path.glob("part-*"))))
+    assert document["aggregate_results"]["case_results"] == []
+
+
+def test_keys_of_corrections_follow_from_their_content(spark):
+    rows = [("r1", 0, S, N, ""), ("r1", 0, S, N, None), ("r1", None, S, N, ""), ("r", 10, S, N, ""), ("r1", 0, S, N, "x")]
+    df = spark.createDataFrame(rows, "request_id string, claim_index int, predicted_verdict string, correct_verdict string, comment string")
+    one, two = ([r["id"] for r in feedback_rows(df).collect()] for _ in range(2))
+    assert one == two and one[0] == one[1] and len(set(one)) == 4
+    sent = df.withColumn("sent_at", F.timestamp_seconds(F.lit(5)))
+    assert len({r["id"] for r in feedback_rows(sent, "sent_at").collect()} | set(one)) == 8
+
+
+def test_a_correction_sent_again_is_appended_once(spark, tmp_path):
+    """Also in another micro-batch, and after the stream was started again."""
+    names = "request_id string, claim_index int, predicted_verdict string, correct_verdict string, comment string, at long"
+    for rows in ([("r1", 0, S, N, "", 100), ("r2", 0, S, N, "", 110)], [("r1", 0, S, N, "", 100), ("r3", 0, S, N, "", 120)]):
+        spark.createDataFrame(rows, names).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(names).parquet(f"{tmp_path}/in").withColumn("sent_at", F.timestamp_seconds("at"))
+        feedback_stream(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint", "sent_at").awaitTermination()
+    assert sorted(r["request_id"] for r in read_feedback(spark, f"{tmp_path}/out").collect()) == ["r1", "r2", "r3"]
+
+
 def test_case_validation(dataset):
     valid, rejected = split(validate_eval_cases(dataset.withColumn("expected_risk_level", F.lit("LOW"))))
     assert (valid.count(), rejected.count()) == (5, 0)

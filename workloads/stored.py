@@ -8,9 +8,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from factlake.operators.evidence import pair
 from factlake.operators.claims import extract_claims
+from factlake import schemas
+from factlake.plans.benchmark import run_benchmark
 from factlake.session import shared_folder
-from factlake.sources import append_feedback, read_feedback, read_knowledge_base
+from factlake.sources import (
+    append_feedback,
+    read_evaluation,
+    read_feedback,
+    read_knowledge_base,
+    write_evaluation,
+)
+from factlake.streaming import feedback_stream
 from workloads.base import ANSWERS_SQL, CLAIMS_SQL, KB_SQL, answers, knowledge_base, table
+from workloads.evaluation import EVAL_SQL, cases, predictions
+from workloads.matching import RESULTS_SQL
 
 
 def _folder(spark) -> str:
@@ -34,6 +45,42 @@ def stored_feedback(spark, sf) -> DataFrame:
     return stored.drop("id", "created_at")
 
 
+def streamed_appends(spark, sf) -> DataFrame:
+    """Corrections that arrive as a stream, every one of them sent twice."""
+    schema = table(spark, sf, "labels").schema
+    sent = spark.readStream.schema(schema).option("pathGlobFilter", "labels.parquet").parquet(sf)
+    verdict = F.when(F.col("quality") == 1, "SUPPORTED").otherwise("NOT_ENOUGH_EVIDENCE")
+    rows = sent.select(
+        F.col("doc_id").cast("string").alias("request_id"),
+        (F.col("doc_id") % 7).cast("int").alias("claim_index"),
+        verdict.alias("predicted_verdict"),
+        F.when(F.col("toxic") == 1, "CONTRADICTED").otherwise(verdict).alias("correct_verdict"),
+        F.when(F.col("doc_id") % 3 == 0, "checked").alias("comment"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 3000).alias("sent_at"),
+    )
+    path = _folder(spark)
+    feedback_stream(rows.union(rows), f"{path}/table", f"{path}/checkpoint", "sent_at").awaitTermination()
+    stored = read_feedback(spark, f"{path}/table")
+    return stored.select(
+        *[c for c in stored.columns if c not in ("id", "created_at")],
+        F.unix_timestamp("created_at").alias("sent_at"),
+        F.length("id").alias("key_length"),
+    )
+
+
+def evaluation_document(spark, sf) -> DataFrame:
+    """The whole evaluation written as one JSON document, and its cases read back."""
+    path = _folder(spark)
+    run = run_benchmark(cases(spark, sf), predictions(spark, sf), "attempt")
+    write_evaluation(run, path, "turns", "1")
+    back = read_evaluation(spark, path, schemas.CASE_RESULTS)
+    scores = [c for c in back.columns if c.startswith("verdict_")]
+    return (
+        back.withColumns({c: F.round(c, 9) for c in scores})
+        .withColumn("failed_checks", F.array_join("failed_checks", "|"))
+    )
+
+
 def stored_knowledge(spark, sf) -> DataFrame:
     """The knowledge base as JSON and as Parquet, read with its declared schema."""
     kb, parts = knowledge_base(spark, sf), []
@@ -67,9 +114,26 @@ def orphan_evidence(spark, sf) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (stored_feedback, stored_knowledge, orphan_evidence)}
+QUERIES = {
+    f.__name__: f
+    for f in (stored_feedback, stored_knowledge, orphan_evidence, streamed_appends, evaluation_document)
+}
 
 ORACLES = {
+    "streamed_appends": """
+        SELECT doc_id::VARCHAR AS request_id, (doc_id % 7)::INT AS claim_index,
+               CASE WHEN quality = 1 THEN 'SUPPORTED' ELSE 'NOT_ENOUGH_EVIDENCE' END AS predicted_verdict,
+               CASE WHEN toxic = 1 THEN 'CONTRADICTED' WHEN quality = 1 THEN 'SUPPORTED'
+                    ELSE 'NOT_ENOUGH_EVIDENCE' END AS correct_verdict,
+               CASE WHEN doc_id % 3 = 0 THEN 'checked' ELSE '' END AS comment,
+               1700000000 + doc_id % 3000 AS sent_at, 64 AS key_length
+        FROM labels""",
+    "evaluation_document": f"""WITH RECURSIVE {EVAL_SQL}, {RESULTS_SQL}
+        SELECT r.case_id, r.n_claims::INT AS n_claims, r.claim_accuracy, claim_precision, claim_recall, claim_f1,
+          round(verdict_accuracy, 9) AS verdict_accuracy, round(verdict_precision, 9) AS verdict_precision,
+          round(verdict_recall, 9) AS verdict_recall, round(verdict_f1, 9) AS verdict_f1, hallucination_rate,
+          citation_coverage, risk_level_match, array_to_string(failed, '|') AS failed_checks
+        FROM results r JOIN claim_scored USING (case_id)""",
     "stored_feedback": """
         SELECT doc_id::VARCHAR AS request_id, (doc_id % 7)::INT AS claim_index,
                CASE WHEN quality = 1 THEN 'SUPPORTED' ELSE 'NOT_ENOUGH_EVIDENCE' END AS predicted_verdict,

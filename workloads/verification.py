@@ -28,12 +28,13 @@ from factlake.operators.retrieval import (
 )
 from factlake.operators.claims import explode_claims, with_claims
 from factlake.operators.verdicts import failed_claims, risk_scores
-from factlake.plans.verify import Verification, verify_answers
+from factlake.plans.verify import Verification, verify_answers, verify_submissions
 from factlake.session import materialized
 from workloads.base import (
     ANSWERS_SQL,
     CLAIMS_SQL,
     KB_SQL,
+    SUBMITTED_SQL,
     W,
     WS,
     answers,
@@ -43,6 +44,7 @@ from workloads.base import (
     sql_raw_tokens,
     sql_round,
     sql_similarity_tokens,
+    submitted,
 )
 
 
@@ -150,6 +152,15 @@ def risks(spark, sf) -> DataFrame:
     return _verified(spark, sf).risks
 
 
+def submissions(spark, sf) -> DataFrame:
+    """Answers as submitted: every one with its outcome, verified ones with their report."""
+    done = verify_submissions(submitted(spark, sf), _index(spark, sf))
+    reports = done.verification.reports.select("answer_id", "n_claims", "risk_level", "displayed_risk")
+    return done.outcomes.join(reports, "answer_id", "left").withColumn(
+        "problems", F.array_join("problems", "; ")
+    )
+
+
 def risk_levels(spark, sf) -> DataFrame:
     return (
         _verified(spark, sf)
@@ -202,6 +213,7 @@ QUERIES = {
     "numeric_conflicts": numeric_conflicts,
     "verdicts": verdicts,
     "risks": risks,
+    "submissions": submissions,
     "risk_levels": risk_levels,
     "failing_claims": failing_claims,
     "reports": reports,
@@ -443,6 +455,18 @@ _TO_ALIGNED = f"{_TO_RANKED}, {ALIGNED_SQL}"
 _TO_VERDICTS = f"{_TO_ALIGNED}, {VERDICTS_SQL}"
 _TO_RISKS = f"{_TO_VERDICTS}, {RISKS_SQL}"
 
+
+def _limit_sql(column: str, most: int) -> str:
+    return (
+        f"CASE WHEN {column} IS NULL THEN '{column} is missing' WHEN length({column}) < 1 THEN '{column} is shorter than 1' "
+        f"WHEN length({column}) > {most} THEN '{column} is longer than {most}' END"
+    )
+
+
+_CHECKED_SQL = SUBMITTED_SQL.replace("\nanswers AS (", "\nsubmitted AS (") + f""",
+checked AS (SELECT *, concat_ws('; ', {_limit_sql('question', 5000)}, {_limit_sql('answer', 50000)}) AS problems FROM submitted),
+answers AS (SELECT * FROM checked WHERE problems = '')"""
+
 ORACLES = {
     "token_idf": f"{_TO_KB}, {IDF_SQL} SELECT token, df, round(idf, 9) AS idf FROM idf",
     "retrieved": f"{_TO_RETRIEVED} SELECT answer_id, claim_index, kb_id, relevance_score, kb_rank FROM retrieved",
@@ -464,6 +488,10 @@ ORACLES = {
         SELECT answer_id, claim_index, verdict, {sql_round('raw_confidence', 2)} AS confidence,
                round(best_similarity, 9) AS best_similarity, evidence_indices, reasoning FROM final_verdicts""",
     "risks": f"""{_TO_RISKS} SELECT * FROM risks""",
+    "submissions": f"""{_TO_RISKS.replace(ANSWERS_SQL, _CHECKED_SQL)}
+        SELECT c.answer_id, problems, n_claims, risk_level, {sql_round('risk_score', 2)} AS displayed_risk,
+               CASE WHEN problems <> '' THEN 'REJECTED' WHEN n_claims IS NULL THEN 'NO_CLAIMS' ELSE 'VERIFIED' END AS status
+        FROM checked c LEFT JOIN risks r USING (answer_id)""",
     "risk_levels": f"""{_TO_RISKS}
         SELECT risk_level, count(*) AS n_answers, sum(n_claims)::BIGINT AS n_claims FROM risks GROUP BY 1""",
     "failing_claims": f"""{_TO_VERDICTS}
