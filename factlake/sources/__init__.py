@@ -2,22 +2,80 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from factlake import schemas
 from factlake.functions import fixed_values as fv
+from factlake.operators.validation import split, validate_eval_cases
 from factlake.plans.benchmark import Benchmark
 
 
+class EvalDataset(NamedTuple):
+    """``cases`` and ``rejected`` together hold every case of a dataset once.
+
+    ``rejected`` has the case as it was read (``raw``) and its ``problems``.
+    """
+
+    cases: DataFrame
+    rejected: DataFrame
+
+
+_UNREADABLE = "case is not readable"
+
+
+def _sorted_out(raw: DataFrame) -> EvalDataset:
+    """From ``raw`` texts of cases, with the columns beside them."""
+    beside = [c for c in raw.columns if c != "raw"]
+    schema = f"{schemas.EVAL_CASE[:-1]}, _corrupt: STRING>"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    read = raw.withColumn("c", F.from_json("raw", schema, options))
+    fields = read.select(*beside, "raw", F.col("c.id").alias("case_id"), "c.*").drop("id")
+    readable = F.col("_corrupt").isNull() & F.col("case_id").isNotNull()
+    checked = validate_eval_cases(fields).withColumn(
+        "problems", F.when(readable, F.col("problems")).otherwise(F.array(F.lit(_UNREADABLE)))
+    )
+    valid, rejected = split(checked)
+    return EvalDataset(
+        valid.drop("raw", "_corrupt"), rejected.select(*beside, "case_id", "raw", "problems")
+    )
+
+
+def read_eval_dataset(spark: SparkSession, path: str) -> EvalDataset:
+    """A labelled dataset as one JSON document, with the dataset's name and version.
+
+    The cases are read as texts first, so that a case of another shape is rejected alone. A
+    document is one row, so one task goes through a file; a large dataset is better kept as
+    lines, see :func:`read_eval_lines`. A missing file is an error.
+    """
+    shape = "name STRING, version STRING, description STRING, cases ARRAY<STRING>"
+    data = spark.read.schema(shape).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    names = [F.col("name").alias("dataset_name"), F.col("version").alias("dataset_version")]
+    raw = data.select(*names, F.explode("cases").alias("raw"))
+    # Dealt out again: the task that went through the file shouldn't read all cases, too.
+    return _sorted_out(raw.repartition(spark.sparkContext.defaultParallelism))
+
+
+def read_eval_lines(spark: SparkSession, path: str) -> EvalDataset:
+    """A labelled dataset with one case per line, in any number of files and splits.
+
+    Lines that aren't JSON or of another shape are rejected alone.
+    """
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    return _sorted_out(lines.select(F.col("value").alias("raw")))
+
+
+def write_eval_lines(cases: DataFrame, path: str) -> None:
+    """Cases, one per line, as :func:`read_eval_lines` reads them."""
+    rest = [c for c in cases.columns if c not in ("case_id", "dataset_name", "dataset_version")]
+    line = F.to_json(F.struct(F.col("case_id").alias("id"), *rest))
+    cases.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
 def read_eval_cases(spark: SparkSession, path: str) -> DataFrame:
-    """One row per case of a labelled dataset in JSON, with the dataset's name and version."""
-    data = spark.read.schema(schemas.EVAL_DATASET).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return data.select("name", "version", F.explode("cases").alias("c")).select(
-        F.col("name").alias("dataset_name"),
-        F.col("version").alias("dataset_version"),
-        F.col("c.id").alias("case_id"),
-        "c.*",
-    ).drop("id")
+    """The accepted cases of :func:`read_eval_dataset`."""
+    return read_eval_dataset(spark, path).cases
 
 
 def read_table(spark: SparkSession, path: str, schema: str, file_format: str = "parquet") -> DataFrame:

@@ -14,8 +14,11 @@ from factlake.sources import (
     append_feedback,
     feedback_rows,
     read_eval_cases,
+    read_eval_dataset,
+    read_eval_lines,
     read_evaluation,
     read_feedback,
+    write_eval_lines,
     write_evaluation,
     write_json_report,
 )
@@ -203,6 +206,30 @@ def test_a_correction_sent_again_is_appended_once(spark, tmp_path):
     assert sorted(r["request_id"] for r in read_feedback(spark, f"{tmp_path}/out").collect()) == ["r1", "r2", "r3"]
 
 
+def test_bad_cases_are_rejected_alone(spark, tmp_path):
+    good = {
+        "id": "case_001_a", "original_question": "q", "generated_answer": "a", "expected_risk_level": "LOW",
+        "expected_claims": [{"text": "t", "claim_type": "factual"}],
+        "expected_verdicts": [{"claim_text": "t", "verdict": S, "confidence": 1.0, "reasoning": ""}],
+        "trusted_reference_evidence": [], "notes": "",
+    }
+    cases = [good, {**good, "id": "case_002_b", "expected_claims": "none"}, {**good, "id": 7}, "text", None, {**good, "id": "case_003_c"}]
+    (tmp_path / "d.json").write_text(json.dumps({"name": "n", "version": "2", "cases": cases}, indent=1))
+    read = read_eval_dataset(spark, str(tmp_path / "d.json"))
+    rows = read.cases.orderBy("case_id").collect()
+    assert [(r["case_id"], r["dataset_name"], r["dataset_version"]) for r in rows] == [("case_001_a", "n", "2"), ("case_003_c", "n", "2")]
+    assert read.rejected.count() == 4 and read_eval_cases(spark, str(tmp_path / "d.json")).count() == 2
+    assert {tuple(r["problems"]) for r in read.rejected.collect()} == {("case is not readable",), ("case_id has another shape",)}
+    write_eval_lines(read.cases, str(tmp_path / "lines"))
+    (tmp_path / "lines" / "part-bad.txt").write_text('{"id": "case_0\n\n[1]\n' + json.dumps({**good, "expected_risk_level": "?"}))
+    again = read_eval_lines(spark, str(tmp_path / "lines"))
+    both = read.cases.drop("dataset_name", "dataset_version")
+    assert sorted(again.cases.collect()) == sorted(both.select(*again.cases.columns).collect())
+    assert sorted(r["problems"][0] for r in again.rejected.collect()) == ["case is not readable"] * 2 + ["expected_risk_level is unknown"]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_eval_cases(spark, str(tmp_path / "missing.json"))
+
+
 def test_case_validation(dataset):
     valid, rejected = split(validate_eval_cases(dataset.withColumn("expected_risk_level", F.lit("LOW"))))
     assert (valid.count(), rejected.count()) == (5, 0)

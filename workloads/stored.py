@@ -13,9 +13,11 @@ from factlake.plans.benchmark import run_benchmark
 from factlake.session import shared_folder
 from factlake.sources import (
     append_feedback,
+    read_eval_lines,
     read_evaluation,
     read_feedback,
     read_knowledge_base,
+    write_eval_lines,
     write_evaluation,
 )
 from factlake.streaming import feedback_stream
@@ -81,6 +83,24 @@ def evaluation_document(spark, sf) -> DataFrame:
     )
 
 
+def stored_cases(spark, sf) -> DataFrame:
+    """Cases written as lines, some cut short or of another shape, and sorted out again."""
+    path = _folder(spark)
+    given = cases(spark, sf).withColumn("n", F.regexp_extract("case_id", "[0-9]+", 0).cast("long"))
+    write_eval_lines(given.drop("n").where(F.col("n") % 13 > 1), path)
+    line = F.to_json(F.struct(F.col("case_id").alias("id"), *given.drop("case_id", "n").columns))
+    bad = F.when(F.col("n") % 13 == 0, F.left(line, F.length(line) - 9)).otherwise(
+        F.regexp_replace(line, '^\\{"id":"[^"]*"', '{"id":["a","list"],"x":1')
+    )
+    given.where(F.col("n") % 13 <= 1).select(bad).write.mode("append").text(path)
+    read = read_eval_lines(spark, path)
+    accepted = read.cases.select("case_id", F.lit("").alias("problems"))
+    rejected = read.rejected.select("case_id", F.array_join("problems", "|").alias("problems"))
+    return accepted.unionAll(rejected).groupBy("problems").agg(
+        F.count(F.lit(1)).alias("n"), F.count("case_id").alias("named")
+    )
+
+
 def stored_knowledge(spark, sf) -> DataFrame:
     """The knowledge base as JSON and as Parquet, read with its declared schema."""
     kb, parts = knowledge_base(spark, sf), []
@@ -116,10 +136,17 @@ def orphan_evidence(spark, sf) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (stored_feedback, stored_knowledge, orphan_evidence, streamed_appends, evaluation_document)
+    for f in (stored_feedback, stored_knowledge, orphan_evidence, streamed_appends, evaluation_document, stored_cases)
 }
 
 ORACLES = {
+    "stored_cases": f"""WITH {EVAL_SQL},
+        told AS (SELECT c.answer_id, case_id, CASE WHEN c.answer_id % 13 <= 1 THEN 'case is not readable' ELSE
+            concat_ws('|', CASE WHEN coalesce(question, '') = '' THEN 'original_question is missing' END,
+              CASE WHEN n = 0 THEN 'no expected claim' END, CASE WHEN n = 0 THEN 'no expected verdict' END) END AS problems
+          FROM eval_cases c JOIN answers USING (answer_id)
+            JOIN (SELECT answer_id, count(claim_index) AS n FROM answers LEFT JOIN claims USING (answer_id) GROUP BY 1) USING (answer_id))
+        SELECT problems, count(*) AS n, count(*) FILTER (answer_id % 13 > 1) AS named FROM told GROUP BY 1""",
     "streamed_appends": """
         SELECT doc_id::VARCHAR AS request_id, (doc_id % 7)::INT AS claim_index,
                CASE WHEN quality = 1 THEN 'SUPPORTED' ELSE 'NOT_ENOUGH_EVIDENCE' END AS predicted_verdict,
