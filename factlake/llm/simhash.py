@@ -1,8 +1,8 @@
 """SimHash near-duplicates by a self-join of the binary trie of all fingerprints.
 
 The trie's upper levels are joined by Spark: a fingerprint goes to its own block (a trie
-node at depth BLOCK_BITS) and to every block that differs from it in few enough bits. Below
-that, each task walks pairs of nodes of its block together, adds up differing bits and
+node at depth BLOCK_BITS) and to every block that differs from it in few enough bits. Blocks
+with too many keys are split further down. Below that, each task walks pairs of nodes of its block together, adds up differing bits and
 leaves a pair as soon as the bits exceed the budget.
 
 Two tries are walked, one over the bits as they are and one with the halves exchanged: of
@@ -18,6 +18,7 @@ copies are one fingerprint from the start.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -35,6 +36,9 @@ SEED = 42
 BITS = 64
 HALF = BITS // 2
 BLOCK_BITS = 10
+#: Keys of a group of blocks that one task walks; more are split at so many further bits.
+MOST_ROWS = 200_000
+SPLIT_BITS = 6
 FRONTIER = 1 << 15
 SMALL = 64
 CHUNK = 1 << 15
@@ -193,39 +197,96 @@ def _links_in_block(budgets: tuple[int, int], distance: int):
     return of_block
 
 
-def near_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Links (u, v) that connect the distinct longs ``fp`` exactly as all pairs within
-    ``distance`` bits would."""
-    budgets = (distance // 2, distance - distance // 2 - 1)
-    sides = []
-    for swapped, budget in enumerate(budgets):
+def _masks(bits: int, most: int) -> Column:
+    """All (mask, used): numbers of so many bits with at most ``most`` of them set."""
+    return F.array(
+        *[
+            F.struct(F.lit(sum(1 << k for k in chosen)).cast("bigint").alias("mask"), F.lit(n).alias("used"))
+            for n in range(most + 1)
+            for chosen in combinations(range(bits), n)
+        ]
+    )
+
+
+def _lead(swapped: int, depth: int, bits: int) -> Column:
+    """The bits below ``depth`` of the half that this trie starts with."""
+    top = F.shiftrightunsigned("fp", (HALF if swapped else BITS) - depth - bits)
+    return top.bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+
+
+def _first_blocks(prints: DataFrame, swapped: int, budget: int) -> DataFrame:
+    """Every key in its own block and in those above it that differ in few enough bits."""
+    home = prints.select("fp", _lead(swapped, 0, BLOCK_BITS).alias("home"))
+    spread = home.select("*", F.inline(_masks(BLOCK_BITS, budget)))
+    # Each pair of blocks once.
+    spread = spread.withColumn("block", F.col("home").bitwiseXOR(F.col("mask"))).where("block <= home")
+    return spread.select(
+        "fp", "block", (F.col("mask") == 0).alias("own"), (F.lit(budget) - F.col("used")).alias("left")
+    )
+
+
+def _deeper(rows: DataFrame, swapped: int, depth: int, budget: int) -> DataFrame:
+    """Rows of blocks at ``depth``, dealt to the nodes SPLIT_BITS below."""
+    rows = rows.withColumn("home", _lead(swapped, depth, SPLIT_BITS))
+    spread = rows.select("*", F.inline(_masks(SPLIT_BITS, budget))).where("used <= left")
+    spread = spread.withColumn("node", F.col("home").bitwiseXOR(F.col("mask")))
+    spread = spread.where("NOT own OR node <= home")  # pairs of own keys once
+    return spread.select(
+        "fp",
+        (F.shiftleft("block", SPLIT_BITS) + F.col("node")).alias("block"),
+        (F.col("own") & (F.col("mask") == 0)).alias("own"),
+        (F.col("left") - F.col("used")).alias("left"),
+    )
+
+
+def blocks_of(prints: DataFrame, distance: int, most_rows: int) -> DataFrame:
+    """(fp, swapped, depth, block, own): the groups that are walked.
+
+    A group of more than ``most_rows`` keys is split at further leading bits of the trie,
+    where a key goes only to nodes that its bits so far leave a budget for; down to 28 of the
+    32 bits that a trie starts with.
+    """
+    out = []
+    for swapped, budget in enumerate((distance // 2, distance - distance // 2 - 1)):
         if budget < 0:
             continue
-        masks = [
-            sum(1 << k for k in chosen)
-            for n in range(budget + 1)
-            for chosen in combinations(range(BLOCK_BITS), n)
-        ]
-        # The block is the leading bits of the half that this trie starts with.
-        lead = F.shiftrightunsigned("fp", (BITS if not swapped else HALF) - BLOCK_BITS)
-        own = lead.bitwiseAND((1 << BLOCK_BITS) - 1)
-        sides.append(
-            prints.select(
-                "fp",
-                F.lit(swapped).alias("swapped"),
-                own.alias("home"),
-                F.explode(F.array(*map(F.lit, masks))).alias("mask"),
+        rows, depth = _first_blocks(prints, swapped, budget), BLOCK_BITS
+        while True:
+            if depth + SPLIT_BITS > HALF:
+                large = None
+            elif depth == BLOCK_BITS:
+                # From the sizes of the blocks, without making their rows.
+                sizes = prints.groupBy(_lead(swapped, 0, BLOCK_BITS).alias("home")).count()
+                sizes = sizes.select("*", F.inline(_masks(BLOCK_BITS, budget)))
+                sizes = sizes.withColumn("block", F.col("home").bitwiseXOR(F.col("mask")))
+                large = sizes.where("block <= home").groupBy("block").agg(F.sum("count").alias("n"))
+            else:
+                large = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+            done = rows
+            if large is not None:
+                large = materialized(large.where(F.col("n") > most_rows).select("block"))
+                if large.isEmpty():
+                    large = None
+                else:
+                    done = rows.join(large, "block", "left_anti")
+            out.append(
+                done.select("fp", F.lit(swapped).alias("swapped"), F.lit(depth).alias("depth"), "block", "own")
             )
-            .withColumn("block", F.col("home").bitwiseXOR(F.col("mask").cast("long")))
-            .where(F.col("block") <= F.col("home"))  # each pair of blocks once
-            .select("fp", "swapped", "block", (F.col("mask") == 0).alias("own"))
-        )
-    spread = sides[0]
-    for side in sides[1:]:
-        spread = spread.unionAll(side)
-    return spread.groupBy("swapped", "block").applyInPandas(
-        _links_in_block(budgets, distance), "u bigint, v bigint"
-    )
+            if large is None:
+                break
+            rows = materialized(_deeper(rows.join(large, "block", "left_semi"), swapped, depth, budget))
+            depth += SPLIT_BITS
+    return reduce(DataFrame.unionAll, out)
+
+
+def near_links(
+    prints: DataFrame, distance: int = DISTANCE, most_rows: int = MOST_ROWS
+) -> DataFrame:
+    """Links (u, v) that connect the distinct longs ``fp`` exactly as all pairs within
+    ``distance`` bits would."""
+    budgets = (distance // 2, distance - distance // 2 - 1)
+    groups = blocks_of(prints, distance, most_rows).groupBy("swapped", "depth", "block")
+    return groups.applyInPandas(_links_in_block(budgets, distance), "u bigint, v bigint")
 
 
 def near_duplicates(

@@ -83,6 +83,27 @@ def test_walk_finds_every_link(spark, distance):
     assert got == want
 
 
+@pytest.mark.parametrize("most_rows", [2000, 150, 10])
+def test_large_blocks_are_split(spark, most_rows):
+    """A third of all fingerprints has the same leading bits, in either half."""
+    rnd = random.Random(4)
+    prefix = 0xABCDE << 44
+    keys = {rnd.getrandbits(64) for _ in range(600)}
+    keys |= {prefix | rnd.getrandbits(44) for _ in range(500)}
+    keys |= {rnd.getrandbits(32) << 32 | 0x1234 << 16 | rnd.getrandbits(16) for _ in range(300)}
+    keys |= {k ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(1, 4))) for k in rnd.sample(sorted(keys), 500)}
+    signed = sorted(k - 2**64 if k >= 2**63 else k for k in keys)
+    prints = spark.createDataFrame([(k,) for k in signed], "fp bigint")
+    links = simhash.near_links(prints, 4, most_rows)
+    roots = {r["node"]: r["root"] for r in components(links).collect()}
+    got = [roots.get(p, p) for p in signed]
+    assert got == [signed[k] for k in grouped([p % 2**64 for p in signed], 4)]
+    sizes = simhash.blocks_of(prints, 4, most_rows).groupBy("swapped", "depth", "block").count().collect()
+    deepest = max(r["depth"] for r in sizes)
+    assert all(r["count"] <= most_rows or r["depth"] > 22 for r in sizes)
+    assert (deepest > 10) == (most_rows < 2000)
+
+
 def test_one_stays(spark, odd, none):
     kept = simhash.one_per_group(odd)
     assert kept.columns == odd.columns
