@@ -26,7 +26,8 @@ from factlake.llm.common import materialized
 K = 10
 SCALE = 1024
 BLOCK_ROWS = 4096
-QUERY_ROWS = 256
+#: An index block travels once per block of queries, so these are as large as one of rows.
+QUERY_ROWS = 4096
 KEPT_BITS = 5
 _INDEX = (
     "block bigint, ids binary, width int, item int, vectors binary, low binary, shift int, "
