@@ -47,5 +47,8 @@ def test_query_equals_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_query_without_sql_gives_rows(spark, name):
+    """What they return is compared with brute force in the tests of their operators."""
+    df = QUERIES[name](spark, SF)
+    rows = df.collect()
+    assert rows and len(set(df.columns)) == len(df.columns)

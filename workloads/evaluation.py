@@ -238,8 +238,11 @@ def metrics_by_language(spark, sf) -> DataFrame:
 
 def feedback(spark, sf) -> DataFrame:
     """The toxicity label corrects the toxicity rules."""
-    flagged = detect_toxicity(prompts(spark, sf), "prompt").select("prompt_id", F.col("toxicity.flag").alias("flag"))
-    named = table(spark, sf, "labels").join(flagged, F.col("doc_id") == F.col("prompt_id"))
+    labels = table(spark, sf, "labels")
+    # Only what is labelled goes through the rules.
+    labelled = prompts(spark, sf).join(labels.select(F.col("doc_id").alias("prompt_id")), "prompt_id", "left_semi")
+    flagged = detect_toxicity(labelled, "prompt").select("prompt_id", F.col("toxicity.flag").alias("flag"))
+    named = labels.join(flagged, F.col("doc_id") == F.col("prompt_id"))
     return named.select(
         F.col("doc_id").cast("string").alias("request_id"),
         F.lit(0).alias("claim_index"),
