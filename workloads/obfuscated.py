@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from factlake.functions import fixed_values as fv
 from factlake.functions.deobfuscate import deobfuscated
+from factlake.functions.numbers import _OTHER_DIGITS, _THEIR_VALUES
+from factlake.functions.numeric import extract_numbers, extract_years
 from factlake.operators.grounding import contains_injection
 from factlake.plans.screen import detect_injection
-from workloads.base import pick, sql_pick, sql_round, sql_text, table
+from workloads.base import W, pick, sql_pick, sql_round, sql_text, table
 from workloads.screening import _flat, _level, _sql_pattern
+from workloads.verification import sql_numbers
 
 
 def _hidden(text: str) -> str:
@@ -51,7 +54,32 @@ def hidden_guards(spark, sf) -> DataFrame:
     return hidden_prompts(spark, sf).select("prompt_id", contains_injection(F.col("prompt")).alias("guarded"))
 
 
-QUERIES = {f.__name__: f for f in (plain_forms, hidden_injections, hidden_guards)}
+NUMBER_ENDINGS = [
+    " It had ٦٨ million people in २०२३.",
+    " The year １９９９ saw 4٠ percent, then １,５００.５ km.",
+    " ༡༢ years and 1௯௯௮.",
+    " 12 years after 1998.",
+    "",
+]
+
+
+def numbers_in_scripts(spark, sf) -> DataFrame:
+    """Numbers and years of every turn, with digits of several scripts put behind it."""
+    number = F.col("conv_id") * 1000 + F.col("turn")
+    text = F.concat("text", pick(NUMBER_ENDINGS, number))
+    return (
+        table(spark, sf, "conversations")
+        .select(number.alias("prompt_id"), extract_numbers(text).alias("n"), extract_years(text).alias("y"))
+        .select(
+            "prompt_id",
+            F.array_join(F.transform("n", lambda n: n["value"].cast("decimal(30,3)").cast("string")), ",").alias("numbers"),
+            F.array_join(F.transform("n", lambda n: n["raw"]), "|").alias("raw"),
+            F.array_join(F.col("y").cast("array<string>"), ",").alias("years"),
+        )
+    )
+
+
+QUERIES = {f.__name__: f for f in (plain_forms, hidden_injections, hidden_guards, numbers_in_scripts)}
 
 # ---- SQL: a second scan of the translated text and of what its blobs decode to --------
 
@@ -84,7 +112,17 @@ _RAW = (
 _GUARDS = {n: p for n, p, _ in fv.INJECTION_RULES}
 _VISIBLE = f"translate(prompt, {sql_text(fv.INVISIBLE_CHARS)}, '')"
 
+_ASCII = f"translate(text, {sql_text(_OTHER_DIGITS)}, {sql_text(_THEIR_VALUES)})"
 ORACLES = {
+    # Every digit translated first: what is found must not depend on the script.
+    "numbers_in_scripts": f"""WITH given AS (
+          SELECT conv_id * 1000 + turn AS prompt_id, text || {sql_pick(NUMBER_ENDINGS, '(conv_id * 1000 + turn)')} AS text
+          FROM conversations),
+        found AS (SELECT prompt_id, {sql_numbers(_ASCII)} AS n, {sql_numbers('text').replace("replace(n[2], ',', '')", "'0'")} AS o,
+          list_transform(regexp_extract_all(text, '(?:^|[^{W}])([12]\\p{{Nd}}{{3}})(?:$|[^{W}])', 1),
+            lambda y: translate(y, {sql_text(_OTHER_DIGITS)}, {sql_text(_THEIR_VALUES)})) AS y FROM given)
+        SELECT prompt_id, array_to_string(list_transform(n, lambda x: x.value::DECIMAL(30, 3)::VARCHAR), ',') AS numbers,
+          array_to_string(list_transform(o, lambda x: x.raw), '|') AS raw, array_to_string(y, ',') AS years FROM found""",
     "plain_forms": f"WITH {HIDDEN_SQL} SELECT prompt_id, plain FROM plain WHERE plain <> prompt",
     "hidden_injections": f"""WITH {HIDDEN_SQL},
         found AS (SELECT prompt_id, {_names('prompt')} AS raw, {_names('plain')} AS undone FROM plain),

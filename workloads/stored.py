@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -17,6 +18,7 @@ from factlake.sources import (
     read_evaluation,
     read_feedback,
     read_knowledge_base,
+    read_table,
     write_eval_lines,
     write_evaluation,
 )
@@ -101,6 +103,42 @@ def stored_cases(spark, sf) -> DataFrame:
     )
 
 
+def stored_requests(spark, sf) -> DataFrame:
+    """Answers, prompts, grounding requests and predictions, written and read as declared."""
+    asked = answers(spark, sf)
+    tables = {
+        "answers": (asked, schemas.ANSWERS, "json"),
+        "prompts": (
+            asked.select(
+                F.col("answer_id").alias("prompt_id"), F.col("answer").alias("prompt"), F.col("question").alias("system_prompt")
+            ),
+            schemas.PROMPTS,
+            "parquet",
+        ),
+        "requests": (
+            asked.withColumnRenamed("answer", "initial_answer").withColumn(
+                "max_iterations", F.when(F.col("answer_id") % 4 == 0, F.lit(2))
+            ),
+            schemas.GROUND_REQUESTS,
+            "json",
+        ),
+        "predictions": (predictions(spark, sf).where("attempt = 1").drop("attempt"), schemas.PREDICTIONS, "json"),
+    }
+    out = []
+    for kind, (df, schema, file_format) in tables.items():
+        path = _folder(spark)
+        df.write.format(file_format).save(path)
+        back = read_table(spark, path, schema, file_format)
+        chars = {
+            "answers": F.length("answer") + F.coalesce(F.length("question"), F.lit(0)) + F.greatest(F.size("trusted_sources"), F.lit(0)),
+            "prompts": F.length("prompt") + F.coalesce(F.length("system_prompt"), F.lit(0)),
+            "requests": F.length("initial_answer") + F.coalesce("max_iterations", F.lit(0)),
+            "predictions": F.size("extracted_claims") * 100 + F.size("predicted_verdicts") + F.length("risk_level"),
+        }[kind]
+        out.append(back.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), F.sum(chars).alias("total")))
+    return reduce(DataFrame.unionAll, out)
+
+
 def stored_knowledge(spark, sf) -> DataFrame:
     """The knowledge base as JSON and as Parquet, read with its declared schema."""
     kb, parts = knowledge_base(spark, sf), []
@@ -136,17 +174,25 @@ def orphan_evidence(spark, sf) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (stored_feedback, stored_knowledge, orphan_evidence, streamed_appends, evaluation_document, stored_cases)
+    for f in (stored_feedback, stored_knowledge, orphan_evidence, streamed_appends, evaluation_document, stored_cases, stored_requests)
 }
 
 ORACLES = {
     "stored_cases": f"""WITH {EVAL_SQL},
-        told AS (SELECT c.answer_id, case_id, CASE WHEN c.answer_id % 13 <= 1 THEN 'case is not readable' ELSE
-            concat_ws('|', CASE WHEN coalesce(question, '') = '' THEN 'original_question is missing' END,
+        told AS (SELECT c.answer_id, case_id, CASE WHEN c.answer_id % 13 = 0 THEN 'case is not readable' ELSE
+            concat_ws('|', CASE WHEN c.answer_id % 13 = 1 THEN 'case_id has another shape' END, CASE WHEN coalesce(question, '') = '' THEN 'original_question is missing' END,
               CASE WHEN n = 0 THEN 'no expected claim' END, CASE WHEN n = 0 THEN 'no expected verdict' END) END AS problems
           FROM eval_cases c JOIN answers USING (answer_id)
             JOIN (SELECT answer_id, count(claim_index) AS n FROM answers LEFT JOIN claims USING (answer_id) GROUP BY 1) USING (answer_id))
-        SELECT problems, count(*) AS n, count(*) FILTER (answer_id % 13 > 1) AS named FROM told GROUP BY 1""",
+        SELECT problems, count(*) AS n, count(*) FILTER (answer_id % 13 > 0) AS named FROM told GROUP BY 1""",
+    "stored_requests": f"""WITH {EVAL_SQL}
+        SELECT 'answers' AS kind, count(*) AS n,
+          sum(length(answer) + coalesce(length(question), 0) + coalesce(len(trusted_sources), 0))::BIGINT AS total FROM answers
+        UNION ALL SELECT 'prompts', count(*), sum(length(answer) + coalesce(length(question), 0))::BIGINT FROM answers
+        UNION ALL SELECT 'requests', count(*), sum(length(answer) + CASE WHEN answer_id % 4 = 0 THEN 2 ELSE 0 END)::BIGINT FROM answers
+        UNION ALL SELECT 'predictions', count(*), sum((coalesce(k, 0) + CASE WHEN answer_id % 4 = 0 THEN 1 ELSE 0 END) * 100
+            + coalesce(k, 0) + length(risk_level))::BIGINT
+          FROM eval_cases LEFT JOIN (SELECT case_id, count(*) AS k FROM predicted_rows GROUP BY 1) USING (case_id)""",
     "streamed_appends": """
         SELECT doc_id::VARCHAR AS request_id, (doc_id % 7)::INT AS claim_index,
                CASE WHEN quality = 1 THEN 'SUPPORTED' ELSE 'NOT_ENOUGH_EVIDENCE' END AS predicted_verdict,
