@@ -52,6 +52,25 @@ def test_empty_documents(spark, none, tmp_path):
 
 
 def test_odd_documents(spark, odd, tmp_path):
+    """Short, null and empty texts go, everything else comes out once and whole."""
     table(spark, SF, "labels").write.parquet(f"{tmp_path}/labels.parquet")
     odd.write.parquet(f"{tmp_path}/documents.parquet")
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    found = {r["doc_id"] for r in pieces}
+    words = {d: len(t.split()) for d, t in texts_of(odd)}
+    assert found <= {d for d, n in words.items() if n >= 20 or d is None} and found
+    by_doc = {}
+    for r in pieces:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+    for doc, rows in by_doc.items():
+        rows.sort(key=lambda r: (r["start"], r["piece"]))
+        if doc is not None:  # rows without an id may be several documents
+            assert [r["piece"] for r in rows] == list(range(len(rows)))
+            assert [r["start"] for r in rows] == [sum(x["length"] for x in rows[:k]) for k in range(len(rows))]
+    taken = {}
+    for r in pieces:
+        taken.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in taken.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))]
+        assert sum(n for _, n in places) <= packing.CAPACITY
