@@ -23,7 +23,7 @@ from factlake.sources import (
     write_evaluation,
 )
 from factlake.streaming import feedback_stream
-from workloads.base import ANSWERS_SQL, CLAIMS_SQL, KB_SQL, answers, knowledge_base, table
+from workloads.base import ANSWERS_SQL, CLAIMS_SQL, KB_SQL, answers, knowledge_base, streamed_table, table
 from workloads.evaluation import EVAL_SQL, cases, predictions
 from workloads.matching import RESULTS_SQL
 
@@ -51,8 +51,7 @@ def stored_feedback(spark, sf) -> DataFrame:
 
 def streamed_appends(spark, sf) -> DataFrame:
     """Corrections that arrive as a stream, every one of them sent twice."""
-    schema = table(spark, sf, "labels").schema
-    sent = spark.readStream.schema(schema).option("pathGlobFilter", "labels.parquet").parquet(sf)
+    sent = streamed_table(spark, sf, "labels")
     verdict = F.when(F.col("quality") == 1, "SUPPORTED").otherwise("NOT_ENOUGH_EVIDENCE")
     rows = sent.select(
         F.col("doc_id").cast("string").alias("request_id"),
