@@ -32,7 +32,7 @@ from factlake.operators.metrics import (
     hallucination_rate,
     macro_f1,
 )
-from factlake.operators.rows import unnest
+from factlake.operators.rows import staged, unnest
 from factlake.operators.validation import (
     split,
     validate_answers,
@@ -50,7 +50,7 @@ _LEVELS = ["LOW", "MEDIUM", "HIGH"]
 
 
 def _with_claims(spark, sf) -> DataFrame:
-    return with_claims(answers(spark, sf))
+    return staged(with_claims(answers(spark, sf)), "claims")
 
 
 def cases(spark, sf) -> DataFrame:
