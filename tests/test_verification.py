@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from factlake.operators import retrieval
 from factlake.operators.evidence import with_evidence_index
 from factlake.operators.retrieval import (
     KnowledgeIndex,
@@ -174,6 +175,24 @@ def test_lists_bound_the_candidates_of_a_claim(spark):
     assert most[4000] < 2 * most[400]
 
 
+def test_hopeless_candidates_are_not_scored(spark, monkeypatch):
+    """Those that can't be among a claim's best are dropped by their bounds; the result is exact."""
+    kb, claims = _some_knowledge(300)
+    counts = {}
+    worth = retrieval._worth_scoring
+
+    def counted(found, of_claim, k):
+        counts["kept"] = (kept := worth(found, of_claim, k)).count()
+        counts["found"] = found.count()
+        return kept
+
+    monkeypatch.setattr(retrieval, "_worth_scoring", counted)
+    index = KnowledgeIndex.build(spark.createDataFrame(kb, KB), hot_df=8)
+    assert _found(spark, claims, index) == _brute_force(claims, kb, 3)
+    print("candidates, scored:", counts)
+    assert 0 < counts["kept"] < counts["found"]
+
+
 def test_reports_of_a_small_knowledge_base(spark):
     kb = spark.createDataFrame(
         [
