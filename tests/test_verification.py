@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factlake.operators import retrieval
+from factlake.operators import blocks, retrieval
 from factlake.operators.evidence import with_evidence_index
 from factlake.operators.retrieval import (
     KnowledgeIndex,
@@ -210,3 +210,45 @@ def test_reports_of_a_small_knowledge_base(spark):
     assert report["verdicts"][0]["evidence_indices"] == [0]
     assert [c["source"] for c in report["citations"]] == ["imf"]
     assert (report["risk_score"], report["risk_level"]) == (0.25, "LOW")
+
+
+def test_an_index_grows_with_its_postings(spark):
+    """Not with the pairs of an entry's tokens: 20 frequent tokens an entry are 190 pairs."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(25)]
+    kb = [(i, "s", 0.9, "x", "", sorted(rng.sample(words, 20))) for i in range(200)]
+    (segment,) = KnowledgeIndex.build(spark.createDataFrame(kb, KB), hot_df=8).segments
+    rows = sum(getattr(segment, table).count() for table in segment.TABLES)
+    assert rows <= 200 * 20
+
+
+@pytest.mark.parametrize("size, part", [(7, 11), (64, 1 << 17)])
+def test_blocks_find_the_best_of_all(spark, monkeypatch, size, part):
+    """In small blocks and parts, with and without a score to reach, against brute force."""
+    monkeypatch.setattr(blocks, "PART", part)
+    rng = random.Random(size)
+    entries = [(i, rng.choice([0.3, 0.9, 0.95]), rng.sample(range(30), rng.randint(2, 6))) for i in range(150)]
+    claims = []
+    for i in range(60):
+        tokens = sorted(rng.sample(range(35), rng.randint(2, 7)))
+        claims.append((i, 0, 60, rng.choice([None, 0.5, 0.6, 0.7]), tokens, sorted((rng.randint(1, 9) for _ in tokens), reverse=True)))
+    index = blocks.inverted_blocks(
+        spark.createDataFrame(entries, "kb_id long, credibility double, hot array<long>"), "hot", size=size
+    )
+    asked = spark.createDataFrame(
+        claims, "answer_id long, claim_index int, total long, least double, tokens array<long>, weights array<long>"
+    )
+    found = {}
+    for r in blocks.search_blocks(asked, index, 3, 1e-6).collect():
+        found.setdefault(r["answer_id"], []).append((-(0.7 * (r["weight"] / 60) + 0.3 * r["credibility"]), r["kb_id"]))
+    for i, _, total, least, tokens, weights in claims:
+        of, best = dict(zip(tokens, weights)), []
+        for kb_id, credibility, held in entries:
+            score = 0.7 * (sum(of.get(t, 0) for t in held) / total) + 0.3 * credibility
+            if sum(t in of for t in held) >= 2 and score >= (least or 0):
+                best.append((-score, kb_id))
+        # Those that share one token only may come, too.
+        several = {kb_id for _, kb_id in best}
+        shared_two = [e for e in sorted(found.get(i, [])) if e[1] in several]
+        ahead = [e for e in sorted(found.get(i, [])) if e[1] not in several][:3]
+        assert shared_two[: 3 - len(ahead)] == sorted(best)[: 3 - len(ahead)]
