@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,3 +253,27 @@ def test_blocks_find_the_best_of_all(spark, monkeypatch, size, part):
         shared_two = [e for e in sorted(found.get(i, [])) if e[1] in several]
         ahead = [e for e in sorted(found.get(i, [])) if e[1] not in several][:3]
         assert shared_two[: 3 - len(ahead)] == sorted(best)[: 3 - len(ahead)]
+
+
+def test_a_block_scores_only_entries_of_several_tokens():
+    """A long list costs a look, not a score for each of its entries."""
+    lists = [np.arange(0, 1000), np.arange(999, 3000), np.array([5, 999, 2999])]
+    sums, extra = np.zeros(3000, "int64"), np.zeros(3000)
+    for weights in ([9, 8, 7], [9, 3, 2]):
+        seen, weight = blocks._shared(lists, weights, 1.0, 30.0, extra, 0.0, 3, 30.0, sums)
+        held = {5: weights[0] + weights[2], 999: sum(weights), 2999: weights[1] + weights[2]}
+        assert dict(zip(seen.tolist(), weight.tolist())) == held and not sums.any()
+
+
+def test_every_pair_of_part_and_block_may_be_a_task(spark, monkeypatch):
+    """Whatever the number of shuffle partitions is."""
+    monkeypatch.setattr(blocks, "SMALL_PART", 4)
+    entries = spark.range(64).selectExpr("id AS kb_id", "0.9D AS credibility", "array(1L, 2L) AS hot")
+    index = blocks.inverted_blocks(entries, "hot", size=16).cache()
+    asked = spark.range(32).selectExpr(
+        "id AS answer_id", "0 AS claim_index", "9L AS total", "CAST(NULL AS DOUBLE) AS least",
+        "array(1L, 2L) AS tokens", "array(4L, 3L) AS weights",
+    )
+    found = blocks.search_blocks(asked, index, 3, 1e-6)
+    assert found.rdd.getNumPartitions() >= 32
+    assert found.groupBy("answer_id").count().where("count >= 3").count() == 32
