@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from factlake.functions import fixed_values as fv
 from factlake.functions.numbers import ascii_digits, let
-from factlake.functions.regex import jvm, matches
+from factlake.functions.regex import held, holds, jvm
 
 SPAN = "struct<pii_type:string,value:string,start:int,end:int>"
 
@@ -57,24 +57,31 @@ def _spans_of(text: Column, pii_type: str) -> Column:
 
         return F.transform(parts["found"], span)
 
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    spans = let(
-        F.struct(found.alias("found"), gaps.alias("gaps")),
-        lambda p: let(
-            F.struct(
-                p["found"].alias("found"),
-                p["gaps"].alias("gaps"),
-                F.zip_with(
-                    p["found"], F.slice(p["gaps"], 1, F.size(p["found"])), lambda v, g: F.length(v) + g
-                ).alias("widths"),
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def cut(found: Column) -> Column:
+        """The text between the matches is looked for only where there are any."""
+        gaps = F.transform(F.split(text, pattern, -1), F.length)
+        spans = let(
+            F.struct(found.alias("found"), gaps.alias("gaps")),
+            lambda p: let(
+                F.struct(
+                    p["found"].alias("found"),
+                    p["gaps"].alias("gaps"),
+                    F.zip_with(
+                        p["found"], F.slice(p["gaps"], 1, F.size(p["found"])), lambda v, g: F.length(v) + g
+                    ).alias("widths"),
+                ),
+                placed,
             ),
-            placed,
-        ),
-    )
+        )
+        return F.when(F.size(found) > 0, spans).otherwise(none)
+
+    spans = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), cut)
     if pii_type == "credit_card":
         spans = F.filter(spans, lambda s: luhn_ok(s["value"]))
-    return F.when(matches(text, rule, ignore_case), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+    part = held(rule, ignore_case)
+    return F.when(holds(text, part) if part else text.isNotNull(), spans).otherwise(none)
 
 
 def pii_spans(text: Column) -> Column:

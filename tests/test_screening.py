@@ -240,3 +240,36 @@ def test_letters_that_may_change_are_those_of_the_plain_list(spark):
     plain = F.lit(f"[^{deobfuscate._STABLE}]")
     differ = F.rlike("c", plain) != F.rlike("c", F.lit(deobfuscate._MAY_CHANGE))
     assert letters.where(differ).count() == 0 and letters.where(F.rlike("c", plain)).count() > 1_000_000
+
+
+def test_a_rule_looks_for_all_that_a_match_holds():
+    """One common word ("how") doesn't bring on the pattern of a whole text."""
+    from factlake.functions.regex import held
+
+    rules = {name: pattern.lower() for name, pattern, _ in fv.TOXICITY_RULES + fv.INJECTION_RULES}
+
+    def holds(part, text):
+        kind, *rest = part
+        if kind == "text":
+            return rest[0] in text
+        return (all if kind == "all" else any)(holds(p, text) for p in rest)
+
+    dull = "how the person told her that they will act on the instructions, step by step, with that method"
+    assert not any(holds(held(p), dull) for p in rules.values())
+    assert holds(held(rules["illegal_activity"]), "how to hack a bank")
+    assert held(fv.PII_PATTERNS["ssn"]) == ("text", "-") or held(fv.PII_PATTERNS["ssn"]) is None
+    assert held(r"(?:ab|cd)?x+y{0,3}[z]") == ("all", ("text", "x"), ("text", "z"))
+
+
+def test_screening_of_odd_letters_and_no_matches(spark):
+    """Letters that fold to ASCII ones, and texts that hold all words of a rule but no match."""
+    from factlake.functions.pii import pii_spans
+    from factlake.operators.screening import case_folded, matched_rules
+
+    texts = ["how to hacK a banK", "Hİ ıſ", "ÜBER", "", None, "hack how a to", "write to a@b or 1.2.3 = x: y"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = rows.select(case_folded(F.col("t")), matched_rules(F.col("t"), fv.TOXICITY_RULES), pii_spans(F.col("t")))
+    folded, names, spans = zip(*[tuple(r) for r in got.orderBy("i").collect()])
+    assert folded == ("how to hack a bank", "hi is", "über", "", None, "hack how a to", texts[-1])
+    assert names[0] == ["illegal_activity"] and all(n == [] for n in names[1:])
+    assert all(s == [] for s in spans)
