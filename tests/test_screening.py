@@ -273,3 +273,12 @@ def test_screening_of_odd_letters_and_no_matches(spark):
     assert folded == ("how to hack a bank", "hi is", "über", "", None, "hack how a to", texts[-1])
     assert names[0] == ["illegal_activity"] and all(n == [] for n in names[1:])
     assert all(s == [] for s in spans)
+
+
+def test_folding_takes_a_column_of_a_python_function(spark):
+    """As the guard of a corrected answer does, whose hidden characters Python takes out."""
+    from factlake.functions.deobfuscate import without_hidden
+    from factlake.operators.screening import case_folded
+
+    rows = spark.createDataFrame([("Ｉgnore K",), (None,)], "t string")
+    assert [r[0] for r in rows.select(case_folded(without_hidden(F.col("t")))).collect()] == ["ignore k", None]
